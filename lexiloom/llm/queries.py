@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import rules, secrets, simhash, tokens, toxicity
+from . import pii, rules, secrets, simhash, tokens, toxicity
 from .common import table
 
 
@@ -24,6 +24,11 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pii.replace(table(spark, sf_dir, "documents"))
+    return docs.select("doc_id", "text", "n_entities", "entity_kinds")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
