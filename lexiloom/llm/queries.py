@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, pii, rules, secrets, simhash, substrings, tokens, toxicity
+from . import audio, decontamination, mixing, pii, rules, secrets, simhash, substrings, tokens, toxicity
 from .common import table
 
 
@@ -41,6 +41,11 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table holds recordings; each row of embeddings is rendered as one."""
+    return audio.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicate(table(spark, sf_dir, "documents"))
 
