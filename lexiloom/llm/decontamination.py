@@ -53,24 +53,32 @@ def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Lexicon:
-    """Word hash -> index, by a table on the high bits that is widened until hardly any two words share a place."""
+    """Word hash -> index by binary search, which most other words are kept from by a table on the high bits.
+
+    Only the hashes travel; the table is made where it is used.
+    """
+
+    BITS = 20
 
     def __init__(self, hashes: np.ndarray):
-        self.hashes = np.unique(hashes)
-        self.bits = 16
-        while self.bits < 24 and len(np.unique(self.hashes >> np.uint64(64 - self.bits))) < len(self.hashes):
-            self.bits += 1
-        self.table = np.zeros(1 << self.bits, np.int32)
-        self.table[(self.hashes >> np.uint64(64 - self.bits)).astype(np.int64)] = np.arange(1, len(self.hashes) + 1)
+        self.hashes, self.table = np.unique(hashes), None
+
+    def __getstate__(self) -> dict:
+        return {"hashes": self.hashes, "table": None}
 
     def index(self, words: np.ndarray) -> np.ndarray:
         """-1 for words that aren't in the lexicon."""
-        if not len(self.hashes):
-            return np.full(len(words), -1)
-        found = self.table[(words >> np.uint64(64 - self.bits)).astype(np.int64)] - 1
-        maybe = found >= 0
-        maybe[maybe] = self.hashes[found[maybe]] == words[maybe]
-        return np.where(maybe, found, -1)
+        shift = np.uint64(64 - self.BITS)
+        if self.table is None:
+            self.table = np.zeros(1 << self.BITS, bool)
+            self.table[(self.hashes >> shift).astype(np.int64)] = True
+        maybe = np.flatnonzero(self.table[(words >> shift).astype(np.int64)])
+        found = np.full(len(words), -1)
+        if len(maybe):
+            at = np.minimum(np.searchsorted(self.hashes, words[maybe]), len(self.hashes) - 1)
+            right = self.hashes[at] == words[maybe]
+            found[maybe[right]] = at[right]
+        return found
 
 
 def lcs(a: list, b: list) -> int:
