@@ -7,15 +7,17 @@ another; each document is streamed through every automaton, whose matching stati
 at each word and occurs in the shard) give the spans of n words or more.
 
 `deduplicate`: the corpus against itself. As every document is reference and stream at once, automata of all shards would have to read
-all documents, which grows as the square of the corpus (figures in the README). So equal runs meet by shuffle, exactly and in three passes:
+all documents, which grows as the square of the corpus (figures in the README). So equal runs meet by shuffle, exactly, in passes over the texts:
 1. A run's anchor is the run of `k` words inside it with the least hash. Equal runs have equal anchors, and neighbouring runs share them, so
    anchors are a fifth of the runs. Counted with partial sums, they show which anchors occur in two documents.
-2. These anchors set bits in a bitmap of fixed size (`bits`, 8 MB at most as given). Runs whose anchor is in it are keyed by two
-   hashes, 128 bits together, and each key's least document is found. A full bitmap costs time, not results.
-3. Runs of later documents are joined to the keys that have an earlier one; what they cover leaves the text. Only documents with such runs
-   have their text shuffled; again a bitmap of fixed size tells most others apart.
+2. The neighbouring runs of one anchor are a hull. The hulls of such anchors are keyed by two hashes, 128 bits together, and each key's least
+   document is found. In all other documents with that key, all of the hull's runs go.
+3. Runs of hulls in their least document (of hulls that only one document has, too) are keyed alike, one by one. Those are all that can be
+   a run's first occurrence, and all whose hull doesn't settle them. Again all but the least document's go.
+4. What the runs to go cover leaves the text. Only documents with such runs have their text shuffled.
+What a pass learns reaches the next as a bitmap of fixed size (`bits`, 8 MB at most as given): a full one costs time, not results.
 
-A run that a third of all documents hold is one row a task in the partial sums, and one row of the smaller side of the join.
+A run that a third of all documents hold is one row a task in the partial sums, and one row of the smaller side of the joins.
 
 Nulls: a null text has no words; a null id is neither earlier nor later than another, and its words stay. Rows with one id aren't earlier than
 each other. Extra columns of the input are ignored. Texts with fewer than n words stay whole.
@@ -24,17 +26,20 @@ each other. Extra columns of the input are ignored. Texts with fewer than n word
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import small_batches, stored
 from .hashing import bounds, joined, mix, run_hashes, word_hashes
 
 N, K, BITS = 13, 5, 26
+#: Bits of the bitmap of documents that lose words.
+DOC_BITS = 23
 
 
 class SuffixAutomaton:
@@ -181,23 +186,31 @@ def runs(texts: list[bytes], n: int = N, k: int = K) -> tuple[np.ndarray, ...]:
     return owner[keep], keep - first[owner[keep]], least[keep], new[keep], run_hashes(words, n, 2)[keep]
 
 
-def bitmap(df: DataFrame, value: str, bits: int) -> np.ndarray:
-    """A bit for the high `bits` bits of each value. What is collected is bounded by the bitmap's size."""
-    place = F.shiftrightunsigned(value, 64 - bits)
-    words = df.select(F.shiftright(place, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(F.lit(63)).cast("int")).alias("b"))
-    got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    out = np.zeros(1 << (bits - 6), np.uint64)
-    out[got.column("w").to_numpy()] = got.column("b").to_numpy().view(np.uint64)
-    return out
+class Bitmap:
+    """A bit for the high `bits` bits of each value; travels compressed."""
 
+    def __init__(self, words: np.ndarray, bits: int):
+        self.words, self.bits = words, bits
 
-def hit(bitmap: np.ndarray, values: np.ndarray, bits: int) -> np.ndarray:
-    place = values >> np.uint64(64 - bits)
-    return (bitmap[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+    @staticmethod
+    def of(df: DataFrame, value: str, bits: int) -> Bitmap:
+        """What is collected is bounded by the bitmap's size, whatever df holds."""
+        place = F.shiftrightunsigned(value, 64 - bits)
+        words = df.select(F.shiftright(place, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(F.lit(63)).cast("int")).alias("b"))
+        got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+        out = np.zeros(1 << (bits - 6), np.uint64)
+        out[got.column("w").to_numpy()] = got.column("b").to_numpy().view(np.uint64)
+        return Bitmap(out, bits)
 
+    def __getstate__(self) -> dict:
+        return {"words": zlib.compress(self.words.tobytes(), 1), "bits": self.bits}
 
-def id_hash(ids: np.ndarray) -> np.ndarray:
-    return mix(ids.astype(np.int64).view(np.uint64))
+    def __setstate__(self, state: dict) -> None:
+        self.words, self.bits = np.frombuffer(zlib.decompress(state["words"]), np.uint64), state["bits"]
+
+    def has(self, values: np.ndarray) -> np.ndarray:
+        place = values >> np.uint64(64 - self.bits)
+        return (self.words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
 def row_mark(text: bytes) -> int:
@@ -205,12 +218,44 @@ def row_mark(text: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(text, digest_size=4).digest(), "big") >> 1
 
 
+def hulls(owner: np.ndarray, new: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First run, number of runs, and hash of each hull. The first and the last run hold all of a hull's words."""
+    start = np.flatnonzero(new)
+    size = np.diff(np.append(start, len(new)))
+    last = start + size - 1
+    return start, size, mix(run[start] * np.uint64(0xD6E8FEB86659FD93) + run[last] * np.uint64(0xCA5A826395121157) + size.astype(np.uint64))
+
+
+def with_doc(hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """High bits that depend on hash and id, as with_doc_column() has them."""
+    mixed = (ids.view(np.uint64) & np.uint64(0x3FFFFFFF)) * np.uint64(0x1E3779B1)
+    return hashes ^ ((mixed & np.uint64(0x7FFFFFFF)) << np.uint64(33))
+
+
+def with_doc_column(hashes: Column, ids: Column) -> Column:
+    mixed = ids.bitwiseAND(F.lit(0x3FFFFFFF)) * F.lit(0x1E3779B1).cast("bigint")
+    return hashes.bitwiseXOR(F.call_function("shiftleft", mixed.bitwiseAND(F.lit(0x7FFFFFFF)), F.lit(33)))
+
+
+def least_docs(rows: DataFrame) -> DataFrame:
+    """anchor, key, first, last: the documents that a key spans."""
+    return stored(rows.groupBy("anchor", "key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
+
+
+def later(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """doc_id, at, size of the rows whose key an earlier document has. The side with one row a key is the smaller
+    one; a key that many documents hold may be split over tasks."""
+    first = known.where("first < last").select("anchor", "key", "first")
+    return rows.hint("merge").join(first, ["anchor", "key"]).where("doc_id > first").select("doc_id", "at", "size")
+
+
 def deduplicate(docs: DataFrame, n: int = N, k: int = K, bits: int = BITS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every row of docs (doc_id, text). Ids are integers."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     known = rows.where("doc_id IS NOT NULL")
+    send = spark.sparkContext.broadcast
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,60 +270,63 @@ def deduplicate(docs: DataFrame, n: int = N, k: int = K, bits: int = BITS) -> Da
 
     anchors = known.mapInArrow(first_pass, "anchor bigint, lo bigint, hi bigint")
     repeated = anchors.groupBy("anchor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
-    anchor_bits = spark.sparkContext.broadcast(bitmap(repeated, "anchor", bits))
+    anchor_bits = send(Bitmap.of(repeated, "anchor", bits))
+
+    def keyed(level: str, settled=None, wanted=None) -> DataFrame:
+        """anchor, key, doc_id, at, size of the hulls ("hull") or runs ("run") of repeated anchors. settled: for runs, hulls by
+        hash and least document; wanted: keys that are needed. Both bitmaps let some more through."""
 
-    def keyed(filter_bits=None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids, texts = batch.column("doc_id").to_numpy(zero_copy_only=False), texts_of(batch.column("text"))
-                owner, place, anchor, _, run_hash = runs(texts, n, k)
-                some = hit(anchor_bits.value, anchor, bits)
-                if filter_bits is not None:
-                    some[some] = hit(filter_bits.value, run_hash[some], bits)
-                some = np.flatnonzero(some)
+                owner, place, anchor, new, run_hash = runs(texts, n, k)
+                some, size, hull = hulls(owner, new, run_hash)
+                use = anchor_bits.value.has(anchor[some])
+                if level == "run":
+                    use[use] = settled.value.has(with_doc(hull[use], ids[owner[some[use]]]))
+                some, size, key = some[use], size[use], hull[use]
+                if level == "run":
+                    some = np.repeat(some - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                    size, key = np.ones(len(some), np.int64), run_hash[some]
+                if wanted is not None:
+                    use = wanted.value.has(key)
+                    some, size, key = some[use], size[use], key[use]
                 marks = np.zeros(len(texts), np.int64)
                 for t in np.unique(owner[some]):
                     marks[t] = row_mark(texts[t])
                 at = marks[owner[some]] << 32 | place[some]
                 for part in range(0, len(some), 1 << 17):
                     s = slice(part, part + (1 << 17))
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor[some[s]].view(np.int64)), pa.array(run_hash[some[s]].view(np.int64)), pa.array(ids[owner[some[s]]]), pa.array(at[s])], ["anchor", "run", "doc_id", "at"])
+                    columns = anchor[some[s]].view(np.int64), key[s].view(np.int64), ids[owner[some[s]]], at[s], size[s].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["anchor", "key", "doc_id", "at", "size"])
 
-        return known.mapInArrow(run, "anchor bigint, run bigint, doc_id bigint, at bigint")
+        return known.mapInArrow(run, "anchor bigint, key bigint, doc_id bigint, at bigint, size int")
 
-    first = keyed().groupBy("anchor", "run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    first = cut(first.select("anchor", "run", "first"))
-    run_bits = spark.sparkContext.broadcast(bitmap(first, "run", bits))
-    # The side with one row a key is sorted and streamed; a key that many documents hold may be split over tasks.
-    found = keyed(run_bits).hint("merge").join(first, ["anchor", "run"]).where("doc_id > first").select("doc_id", "at")
-    found = cut(found.groupBy("doc_id").agg(F.collect_list("at").alias("at")))
-    doc_bits = spark.sparkContext.broadcast(bitmap(found.select(hashed_id("doc_id")), "h", 23))
+    def repeats(least: DataFrame):
+        return send(Bitmap.of(least.where("first < last"), "key", bits))
+
+    hull_docs = least_docs(keyed("hull"))
+    settled = send(Bitmap.of(hull_docs.select(with_doc_column(F.col("key"), F.col("first")).alias("h")), "h", bits))
+    run_docs = least_docs(keyed("run", settled))
+    found = later(keyed("hull", wanted=repeats(hull_docs)), hull_docs).union(later(keyed("run", settled, repeats(run_docs)), run_docs))
+    found = stored(found.groupBy("doc_id").agg(F.collect_list(F.struct("at", "size")).alias("at")))
+    doc_bits = send(Bitmap.of(found.select(with_doc_column(F.lit(0).cast("bigint"), F.col("doc_id")).alias("h")), "h", DOC_BITS))
 
     def last_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column("doc_id"), texts_of(batch.column("text"))
-            h = hash_like_spark(ids.fill_null(0).to_numpy(zero_copy_only=False))
-            some = hit(doc_bits.value, h, 23) & ids.is_valid().to_numpy(zero_copy_only=False)
+            number = ids.fill_null(0).to_numpy(zero_copy_only=False)
+            some = doc_bits.value.has(with_doc(np.zeros(len(number), np.uint64), number)) & ids.is_valid().to_numpy(zero_copy_only=False)
             done = [(None, None, None) if s else report(t.split(), None) for t, s in zip(texts, some)]
             text = [t if s else None for t, s in zip(texts, some)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(text, pa.binary()), *(pa.array(c, t) for c, t in zip(zip(*done) if done else ((), (), ()), (pa.int64(), pa.int64(), pa.string())))], ["doc_id", "text", "n_words", "n_removed", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(text, pa.binary()), *columns_of(done)], ["doc_id", "text", "n_words", "n_removed", "kept_sha256"])
 
     pending = rows.mapInArrow(last_pass, "doc_id bigint, text binary, n_words bigint, n_removed bigint, kept_sha256 string")
     return pending.join(found, "doc_id", "left").mapInArrow(removal(n), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
-def hashed_id(column: str):
-    """An id's bits spread over 64, as hash_like_spark() does it."""
-    x = F.col(column)
-    x = x.bitwiseXOR(F.shiftrightunsigned(x, 31))
-    high = F.shiftrightunsigned(x, 0).bitwiseAND(F.lit(0x3FFFFFFF)) * F.lit(0x1E3779B1)
-    return F.call_function("shiftleft", high.bitwiseAND(F.lit(0x7FFFFFFF)), F.lit(33)).alias("h")
-
-
-def hash_like_spark(ids: np.ndarray) -> np.ndarray:
-    x = ids.astype(np.int64).view(np.uint64)
-    x = x ^ (x >> np.uint64(31))
-    return ((x & np.uint64(0x3FFFFFFF)) * np.uint64(0x1E3779B1) & np.uint64(0x7FFFFFFF)) << np.uint64(33)
+def columns_of(done: list[tuple]) -> list[pa.Array]:
+    return [pa.array(c, t) for c, t in zip(zip(*done) if done else ((), (), ()), (pa.int64(), pa.int64(), pa.string()))]
 
 
 def removal(n: int):
@@ -294,13 +342,14 @@ def removal(n: int):
                 words = text.split()
                 gone = None
                 if places[i].is_valid:
-                    at = places[i].values.to_numpy(zero_copy_only=False)
-                    at = at[at >> 32 == row_mark(text)] & 0xFFFFFFFF
+                    at, size = (places[i].values.field(c).to_numpy(zero_copy_only=False) for c in ("at", "size"))
+                    own = at >> 32 == row_mark(text)
+                    at, size = at[own] & 0xFFFFFFFF, size[own]
                     edge = np.zeros(len(words) + 1, np.int64)
                     np.add.at(edge, at, 1)
-                    np.add.at(edge, at + n, -1)
+                    np.add.at(edge, at + size - 1 + n, -1)
                     gone = np.cumsum(edge[:-1]) > 0
                 out.append(report(words, gone))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*out) if out else ((), (), ()), (pa.int64(), pa.int64(), pa.string())))], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns_of(out)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     return run

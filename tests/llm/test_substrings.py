@@ -83,3 +83,12 @@ def test_against_reference(spark):
 def test_covered_counts_long_matches_whole():
     assert substrings.covered([1, 2, 3, 4, 0], 3).tolist() == [True, True, True, True, False]
     assert not substrings.covered([], 3).size and isinstance(substrings.covered([1], 3), np.ndarray)
+
+
+def test_bitmap_agrees_with_spark(spark):
+    rng = np.random.default_rng(0)
+    ids, keys = rng.integers(-(2**40), 2**40, 500), rng.integers(-(2**63), 2**63 - 1, 500)
+    df = spark.createDataFrame([(int(i), int(k)) for i, k in zip(ids, keys)], "id long, key long")
+    made = substrings.Bitmap.of(df.select(substrings.with_doc_column(df["key"], df["id"]).alias("h")), "h", 16)
+    assert made.has(substrings.with_doc(keys.view(np.uint64), ids)).all()
+    assert made.has(rng.integers(0, 2**63, 5000).astype(np.uint64) * np.uint64(2)).mean() < 0.02
