@@ -4,8 +4,10 @@
    are left out of the index, except that every item keeps its `KEPT` rarest words.
 2. A distributed randomised SVD of the benchmark's TF-IDF passages gives a latent space of `rank` dimensions: each task multiplies
    its own passages, the driver orthogonalises one small matrix a power iteration.
-3. Every document is read in blocks of `BLOCK` words; every two neighbouring blocks are a passage, so passages overlap by half and cover the
-   whole text. A passage whose cosine with one of an item's passages reaches `cosine` is a candidate.
+3. Every document is read in blocks of `BLOCK` words; every block and the next are a passage, so passages overlap by half and cover the
+   whole text. A passage with `LEAST_WORDS` indexed words (fewer where items have fewer) whose cosine with one of an
+   item's passages reaches `cosine` is a candidate. The cosine's norm is that of the whole TF-IDF vector, so a passage of many items' words, which
+   the latent space sees little of, is none.
 4. A candidate is verified on words: the longest common subsequence of the item and the text around the passage, as
    a share of the item's length; the item's indexed words alone must reach that share too, so that common words prove nothing. From `verbatim` on the document holds the item. Between `paraphrase` and that it does
    if the item's answer (its last sentence) is there too: `answer` of it, in order.
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import cut, small_batches
 from .hashing import bounds, joined, word_hashes
 
-BLOCK, RANK, KEPT, LEAST_WORDS = 24, 64, 8, 2
-MOST_ITEMS, MOST_BYTES = 5_000, 16 << 20
+BLOCK, RANK, KEPT, LEAST_WORDS = 24, 192, 8, 3
+MOST_ITEMS, MOST_BYTES = 500, 4 << 20
 #: Ids of documents to drop that are broadcast at most.
 MOST_BROADCAST = 500_000
 SEPARATOR = np.array([not (chr(b).isalnum() or b >= 128) for b in range(256)])
@@ -95,40 +97,47 @@ def lcs(a: list, b: list) -> int:
     return len(a) - v.bit_count()
 
 
-def passages(index: np.ndarray, counts: np.ndarray, least: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Indexed words by passage: passage (sorted), word; and each passage's text and first block.
+class Passages:
+    """Passages with indexed words: every block of BLOCK words of a text together with its next one.
 
-    A passage is a block and the next one of its text; a text's only block is a passage of its own. Passages with
-    fewer than `least` indexed words are left out: one word is no passage's subject.
+    first: where each block's indexed words begin; who, at: its text and its place there; size, energy: how many indexed
+    words the passage that begins with the block holds, and the sum of their squared weights.
     """
-    blocks = np.maximum(-(-counts // BLOCK), 1)
-    base = np.cumsum(blocks) - blocks
-    word_text = np.repeat(np.arange(len(counts)), counts)
-    inside = np.arange(len(index)) - np.repeat(np.cumsum(counts) - counts, counts)
-    used = np.flatnonzero(index >= 0)
-    text, block = word_text[used], inside[used] // BLOCK
-    # A word of block b belongs to the passages that begin at b and at b - 1.
-    own = block < np.maximum(blocks[text] - 1, 1)
-    before = block > 0
-    passage = np.concatenate([(base[text] + block)[own], (base[text] + block - 1)[before]])
-    word, who, at = (np.concatenate([x[own], y[before]]) for x, y in ((index[used], index[used]), (text, text), (block, block - 1)))
-    order = np.argsort(passage, kind="stable")
-    passage, word, who, at = passage[order], word[order], who[order], at[order]
-    if not len(passage):
-        return passage, word, who, at
-    edge = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
-    size = np.diff(np.append(edge, len(passage)))
-    keep = size >= least
-    return np.repeat(np.arange(keep.sum()), size[keep]), word[np.repeat(keep, size)], who[edge[keep]], at[edge[keep]]
-
-
-def vectors(passage: np.ndarray, word: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Unit latent vectors of passages. weights: idf times right singular vector, a row for each word."""
-    if not len(passage):
-        return np.zeros((0, weights.shape[1]), np.float32)
-    edge = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
-    v = np.add.reduceat(weights[word], edge, axis=0)
-    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+
+    def __init__(self, index: np.ndarray, counts: np.ndarray, idf: np.ndarray):
+        inside = np.arange(len(index)) - np.repeat(np.cumsum(counts) - counts, counts)
+        used = np.flatnonzero(index >= 0)
+        text, block = np.repeat(np.arange(len(counts)), counts)[used], inside[used] // BLOCK
+        self.word = index[used]
+        self.first = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (block[1:] != block[:-1]))) if len(used) else used
+        self.who, self.at = text[self.first], block[self.first]
+        self.follows = np.append((self.who[1:] == self.who[:-1]) & (self.at[1:] == self.at[:-1] + 1), False)[: len(self.first)]
+        size, energy = np.diff(np.append(self.first, len(used))), np.add.reduceat(idf[self.word] ** 2, self.first) if len(used) else np.zeros(0)
+        self.size, self.energy = size.copy(), energy.copy()
+        here = np.flatnonzero(self.follows)
+        self.size[here] += size[here + 1]
+        self.energy[here] += energy[here + 1]
+
+    def some(self, least: int) -> np.ndarray:
+        """The passages with `least` indexed words or more."""
+        return np.flatnonzero(self.size >= least)
+
+    def vectors(self, chosen: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Latent vectors of the chosen passages over the norms of their TF-IDF vectors."""
+        if not len(chosen):
+            return np.zeros((0, weights.shape[1]), np.float32)
+        need = np.zeros(len(self.first) + 1, bool)
+        need[chosen] = True
+        need[1:] |= need[:-1] & self.follows
+        need = need[:-1]
+        words = np.repeat(need, np.diff(np.append(self.first, len(self.word))))
+        edge = np.cumsum(np.diff(np.append(self.first, len(self.word)))[need])
+        sums = np.zeros((len(self.first), weights.shape[1]), np.float32)
+        sums[need] = np.add.reduceat(weights[self.word[words]], np.append(0, edge[:-1]), axis=0)
+        out = sums[chosen]
+        here = self.follows[chosen]
+        out[here] += sums[chosen[here] + 1]
+        return out / np.sqrt(self.energy[chosen])[:, None].astype(np.float32)
 
 
 def frequencies(docs: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, int]:
@@ -143,7 +152,8 @@ def frequencies(docs: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, int]:
             words, counts = hashed(texts)
             found = lex.index(words)
             pairs = np.repeat(np.arange(len(texts)), counts)[found >= 0] * n + found[found >= 0]
-            total[:n] += np.bincount(np.unique(pairs) % n if n else pairs, minlength=n)[:n] if n else 0
+            if n:
+                total[:n] += np.bincount(np.unique(pairs) % n, minlength=n)
             total[n] += len(texts)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["word", "n"])
@@ -168,15 +178,16 @@ def singular_vectors(items: DataFrame, lexicon: Lexicon, idf: np.ndarray, rank:
             total = np.zeros_like(basis)
             for batch in batches:
                 words, counts = hashed([prepared(t) for t in batch.column("text").to_pylist()])
-                passage, word, _, _ = passages(lex.index(words), counts, least=1)
-                if not len(passage):
+                p = Passages(lex.index(words), counts, weight)
+                if not len(p.first):
                     continue
-                a = weight[word].astype(np.float32)
-                edge = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
-                norm = np.sqrt(np.add.reduceat(a * a, edge))[passage]
-                a /= norm
-                rows = np.add.reduceat(a[:, None] * basis[word], edge, axis=0)  # these passages times the basis
-                np.add.at(total, word, a[:, None] * rows[passage])
+                scaled = weight[:, None] * basis
+                rows = p.vectors(np.arange(len(p.first)), scaled)  # these passages times the basis
+                rows /= np.sqrt(p.energy)[:, None].astype(np.float32)
+                # A block's words are in its own passage and in the one before it.
+                rows[1:][p.follows[:-1]] += rows[:-1][p.follows[:-1]].copy()
+                block = np.repeat(np.arange(len(p.first)), np.diff(np.append(p.first, len(p.word))))
+                np.add.at(total, p.word, weight[p.word][:, None] * rows[block])
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
 
         parts = rows.mapInArrow(run, "part binary").toArrow().column("part").to_pylist()
@@ -191,33 +202,40 @@ def singular_vectors(items: DataFrame, lexicon: Lexicon, idf: np.ndarray, rank:
 class Index:
     """One block of the benchmark, ready for retrieval and checks."""
 
-    def __init__(self, ids: list[int], texts: list[str], lexicon: Lexicon, weights: np.ndarray):
-        self.ids, self.lexicon, self.weights = ids, lexicon, weights
+    def __init__(self, ids: list[int], texts: list[str], lexicon: Lexicon, idf: np.ndarray, basis: np.ndarray):
+        self.ids, self.lexicon, self.idf, self.weights = ids, lexicon, idf, idf[:, None] * basis
         plain = [prepared(t) for t in texts]
         self.items = [words_of(t) for t in plain]
         sentences = [[w for w in map(words_of, re.split(rb"[.!?]\s", t.strip())) if w] for t in plain]
         self.answers = [s[-1] if s else [] for s in sentences]
         words, counts = hashed(plain)
         indexed = lexicon.index(words)
-        passage, word, self.owner, _ = passages(indexed, counts, least=1)
         ends = np.cumsum(counts)
         self.content = [[w for w, k in zip(ws, indexed[e - c : e]) if k >= 0] for ws, c, e in zip(self.items, counts, ends)]
-        self.unit = vectors(passage, word, weights)
+        # An item of few words asks for few in a passage; the longer ones' passages hold at least this share of their words.
+        self.least = max(1, min(LEAST_WORDS, round(0.35 * min((len(c) for c in self.content if c), default=1))))
+        p = Passages(indexed, counts, idf)
+        every = np.arange(len(p.first))
+        unit = p.vectors(every, self.weights)
+        self.owner, self.kept = p.who, np.linalg.norm(unit, axis=1)
+        self.unit = unit / np.maximum(self.kept, 1e-6)[:, None]
 
     def search(self, texts: list[bytes], cosine: float) -> list[tuple[int, int, int, float]]:
-        """(text, item, first block, cosine) of the candidates."""
+        """(text, item, first block, cosine) of the candidates. The cosine is that of the passage's whole TF-IDF vector
+        with the item's latent one; what the latent space keeps of the item scales the threshold."""
         words, counts = hashed(texts)
-        passage, word, who, at = passages(self.lexicon.index(words), counts)
-        v = vectors(passage, word, self.weights)
-        out = []
-        for lo in range(0, len(v), 8192):
-            c = v[lo : lo + 8192] @ self.unit.T
-            p, i = np.nonzero(c >= cosine)
-            out += zip(who[lo + p].tolist(), self.owner[i].tolist(), at[lo + p].tolist(), c[p, i].tolist())
+        p = Passages(self.lexicon.index(words), counts, self.idf)
+        chosen, out = p.some(self.least), []
+        least = cosine * np.maximum(self.kept, 0.2)
+        for lo in range(0, len(chosen), 8192):
+            part = chosen[lo : lo + 8192]
+            c = p.vectors(part, self.weights) @ self.unit.T
+            row, i = np.nonzero(c >= least)
+            out += zip(p.who[part[row]].tolist(), self.owner[i].tolist(), p.at[part[row]].tolist(), c[row, i].tolist())
         return out
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.5, verbatim: float = 0.8, paraphrase: float = 0.55, answer: float = 0.6, rank: int = RANK, common: float = 0.05) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.3, verbatim: float = 0.8, paraphrase: float = 0.55, answer: float = 0.6, rank: int = RANK, common: float = 0.05) -> DataFrame:
     """doc_id, item_id, cosine, lcs, answer, kind ("verbatim" or "paraphrase"), one row for each document's row and item it holds."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -249,10 +267,10 @@ def searcher(spark, docs, block, cosine, verbatim, paraphrase, answer, rank, com
     lexicon = Lexicon(every.hashes[use])
     idf = (np.log((1 + n_docs) / (1 + df[use])) + 1).astype(np.float32)
     if len(idf):
-        weights = idf[:, None] * singular_vectors(block, lexicon, idf, min(rank, len(idf)), min(8, max(0, len(idf) - rank)))
+        basis = singular_vectors(block, lexicon, idf, min(rank, len(idf)), min(8, max(0, len(idf) - rank)))
     else:
-        weights = np.zeros((0, rank), np.float32)
-    shared = spark.sparkContext.broadcast(Index(ids, texts, lexicon, weights))
+        basis = np.zeros((0, rank), np.float32)
+    shared = spark.sparkContext.broadcast(Index(ids, texts, lexicon, idf, basis))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
