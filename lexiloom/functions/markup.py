@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 import regex
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 HEAD = regex.compile(r"(\*+)\s*(.*)")
 ITEM = regex.compile(r"(\s*)(?:(\d+)\.|[+-]+)\s*(.*)")
@@ -62,7 +63,7 @@ def textile(text: str | None) -> str | None:
     return "\n".join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def to_textile(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
         yield texts.map(textile)

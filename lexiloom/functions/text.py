@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -67,6 +68,23 @@ def char_word_ngrams(text: Column, char_order: int = 3, word_order: int = 1, dro
     return F.concat(ngrams(char_tokens(clean, drop_first), 1, char_order), ngrams(word_tokens(clean), 1, word_order))
 
 
+LOW = "".join(map(chr, range(33)))
+BLANK = re.compile("[ \\t\\n\\x0b\\f\\r\\u00a0\\u1680\\u2000-\\u200a\\u202f\\u205f\\u3000]+")
+
+
+def features_of(text: str, char_order: int = 3, word_order: int = 1, drop_first: bool = True) -> list[str]:
+    """char_word_ngrams() of one string, for code that runs in Python."""
+    clean = BLANK.sub(" ", text.strip(LOW))
+    chars, words = list(clean)[1 if drop_first else 0 :], clean.split(" ")
+    out = chars if char_order else []
+    for tokens, order in ((chars, char_order), (words, word_order)):
+        if tokens is words and order:
+            out = out + words
+        for n in range(2, order + 1):
+            out = out + list(map(SEPARATOR.join, zip(*(tokens[k:] for k in range(n)))))
+    return out
+
+
 def counted(features: Column) -> Column:
     """array<struct<feature, cnt>> by feature: a sort and its runs inside the row, so nothing is shuffled."""
 
@@ -126,7 +144,7 @@ def normalize_abbreviations(text: Column) -> Column:
 
 
 def normalize_punctuation(text: Column) -> Column:
-    for pattern, to in (("\\u2026|\\.\\.+", "..."), ("\\p{Pd}", "-"), ("\\p{Pi}|\\p{Pf}", '"'), ("\\p{Ps}", "("), ("\\p{Pe}", ")")):
+    for pattern, to in (("[\\u2026\\u22ee\\ufe19]", "..."), ("\\p{Pd}", "-"), ("\\p{Pi}|\\p{Pf}", '"'), ("\\p{Ps}", "("), ("\\p{Pe}", ")")):
         text = F.regexp_replace(text, pattern, to)
     return text
 

@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import trim_low
+from .text import let, trim_low
 
 INITIALS = {f"{c}." for c in string.ascii_lowercase}
 ENGLISH_KEPT = INITIALS | set("mr. mrs. ms. mme. dr. a.m. p.m. u.s. e.u. i.d. d.c. t.b. p.s. m.s. m.a. etc. e.t. a.d. b.c. e.g. i.e. 'em ... .... -- 'bout 's".split())
@@ -125,11 +125,15 @@ SUFFIXES = [("ني", None), ("ي", None), ("ك", None), ("ه", None), ("ها", N
 
 def first_match(word: Column, cases: list[tuple[str, str, str]]) -> Column:
     """The first (test, pattern, replacement) whose test the word passes."""
-    out = None
-    for test, pattern, to in cases:
-        made = F.regexp_replace(word, pattern, to)
-        out = F.when(word.rlike(test), made) if out is None else out.when(word.rlike(test), made)
-    return out.otherwise(word)
+
+    def of(w: Column) -> Column:
+        out = None
+        for test, pattern, to in cases:
+            made = F.regexp_replace(w, pattern, to)
+            out = F.when(w.rlike(test), made) if out is None else out.when(w.rlike(test), made)
+        return out.otherwise(w)
+
+    return let(word, of)
 
 
 def arabic_word(word: Column) -> Column:

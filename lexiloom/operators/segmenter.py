@@ -14,6 +14,7 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 P_ABBREVIATION, ABBREVIATION, COLLOCATION, STARTER = 0.99, 0.3, 7.88, 30.0
 EDGE = "<s>"
@@ -36,7 +37,10 @@ def tokens(line: str | None) -> list[tuple[str, int, str]]:
     return [t for t, after in zip(out, [*out[1:], ("", 0, "")]) if not (t[0] == after[0] and regex.fullmatch(r"[.!?]+", t[0]))]
 
 
-@F.pandas_udf("array<struct<word:string,endpos:int,kind:string>>")
+TOKEN = StructType([StructField("word", StringType()), StructField("endpos", IntegerType()), StructField("kind", StringType())])
+
+
+@F.pandas_udf(ArrayType(TOKEN))
 def token_column(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
         yield texts.map(lambda t: [{"word": w, "endpos": e, "kind": k} for w, e, k in tokens(t)])
@@ -149,7 +153,7 @@ class Statistics:
         @F.pandas_udf("array<string>")
         def starters(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for texts in batches:
-                yield texts.map(lambda t: [n for (_, _, k), n in zip((x := shared.value.kinds(t)), [*(y[0] for y in x[1:]), EDGE]) if k == "EndSent"])
+                yield texts.map(lambda t: shared.value.after_ends(t))
 
         found = lines.select(F.explode(starters("text")).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()
         made.starts = {r.w: r.n for r in found}
@@ -169,6 +173,11 @@ class Statistics:
             out.append((word, end, kind))
         return out
 
+    def after_ends(self, text: str | None) -> list[str]:
+        """What follows each sentence end."""
+        found = self.kinds(text)
+        return [after for (_, _, kind), after in zip(found, [*(w for w, _, _ in found[1:]), EDGE]) if kind == "EndSent"]
+
     def sentences(self, text: str | None) -> list[str]:
         if not text:
             return []
