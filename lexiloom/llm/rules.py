@@ -83,17 +83,21 @@ class Ensemble:
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.bias + sum((r.weight * r.holds(x) for r in self.rules), np.zeros(len(x))))))
 
-    def column(self, stats: dict[str, Column] | None = None) -> Column:
-        """The score from columns named as the statistics (or from the given ones)."""
-        names = NAMES
-        total = F.lit(self.bias)
-        for r in self.rules:
-            all_hold = F.lit(True)
-            for j, low, cut in r.terms:
-                c = stats[names[j]] if stats else F.col(names[j])
-                all_hold = all_hold & ((c <= F.lit(cut)) if low else (c > F.lit(cut)))
-            total = total + F.when(all_hold, F.lit(r.weight)).otherwise(F.lit(0.0))
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
+    def column(self, stats: list[Column]) -> Column:
+        """The score as one expression of the statistics. They are bound to a lambda's variable, so that each is computed once
+        for a row wherever the optimizer moves the score: a filter on it would else repeat them in every rule's terms."""
+
+        def of(s: Column) -> Column:
+            total = F.lit(self.bias)
+            for r in self.rules:
+                all_hold = None
+                for j, low, cut in r.terms:
+                    term = (s[j] <= F.lit(cut)) if low else (s[j] > F.lit(cut))
+                    all_hold = term if all_hold is None else all_hold & term
+                total = total + F.when(all_hold, F.lit(r.weight)).otherwise(F.lit(0.0))
+            return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
+
+        return F.element_at(F.transform(F.array(F.array(*stats)), of), 1)
 
 
 def grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, cuts: list[np.ndarray], depth: int, rows: np.ndarray, terms: tuple, rules: list, least: int = 8) -> np.ndarray:
@@ -186,10 +190,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample
 
 def score(docs: DataFrame, ensemble: Ensemble, text_col: str = "text", out_col: str = "score") -> DataFrame:
     """docs with the score column; every other column stays."""
-    kept = docs.columns
-    stats = {f"_stat_{n}": c for n, c in statistics(F.coalesce(F.col(text_col), F.lit(""))).items()}
-    named = {n: F.col(f"_stat_{n}") for n in NAMES}
-    return docs.withColumns(stats).select(*[c for c in kept if c != out_col], ensemble.column(named).alias(out_col))
+    stats = statistics(F.coalesce(F.col(text_col), F.lit("")))
+    return docs.withColumn(out_col, ensemble.column([stats[n] for n in NAMES]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
