@@ -74,7 +74,7 @@ BLANK = re.compile("[ \\t\\n\\x0b\\f\\r\\u00a0\\u1680\\u2000-\\u200a\\u202f\\u20
 
 def features_of(text: str, char_order: int = 3, word_order: int = 1, drop_first: bool = True) -> list[str]:
     """char_word_ngrams() of one string, for code that runs in Python."""
-    clean = BLANK.sub(" ", text.strip(LOW))
+    clean = BLANK.sub(" ", text.strip(LOW)).strip(LOW)
     chars, words = list(clean)[1 if drop_first else 0 :], clean.split(" ")
     out = chars if char_order else []
     for tokens, order in ((chars, char_order), (words, word_order)):

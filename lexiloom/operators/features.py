@@ -38,7 +38,7 @@ def doc_counts(docs: DataFrame, keys: tuple[str, ...] = ("doc_id", "label"), **o
         for batch in batches:
             place, names, counts = [], [], []
             for k, text in enumerate(batch.column("_text").to_pylist()):
-                found = Counter(T.features_of(text, **orders))
+                found = Counter(T.features_of(text, **orders) if text else ())
                 place += [k] * len(found)
                 names += found.keys()
                 counts += found.values()
