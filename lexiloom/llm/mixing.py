@@ -83,7 +83,7 @@ def rake(cell: DataFrame, targets: dict[str, dict[str | None, float]] | None = N
 def probabilities(docs: DataFrame, targets: dict | None = None, alpha: float = ALPHA, rounds: int = ROUNDS, rate: float = RATE) -> DataFrame:
     """docs with topic, n_tokens, p (probability to be sampled) and kept (whether the id's hash falls below p)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    docs = docs.withColumns({"topic": topic(text), "n_tokens": tokens(text).cast("bigint")})
+    docs = docs.drop("p", "kept").withColumns({"topic": topic(text), "n_tokens": tokens(text).cast("bigint")})
     cell = rake(cut(cells(docs)), targets, alpha, rounds)
     whole = cell.agg(F.sum("tokens")).first()[0] or 0.0
     share = cell.withColumn("p", F.least(F.lit(1.0), F.lit(rate) * F.col("weight") * F.lit(whole) / F.col("tokens")))
