@@ -9,7 +9,7 @@ at each word and occurs in the shard) give the spans of n words or more.
 `deduplicate`: the corpus against itself. As every document is reference and stream at once, automata of all shards would have to read
 all documents, which grows as the square of the corpus (figures in the README). So equal runs meet by shuffle, exactly, in passes over the texts:
 1. A run's anchor is the run of `k` words inside it with the least hash. Equal runs have equal anchors, and neighbouring runs share them, so
-   anchors are a fifth of the runs. Counted with partial sums, they show which anchors occur in two documents.
+   anchors are a third of the runs. Shorter anchors would be fewer, but repeat by chance, which grows as the square of the corpus. Counted with partial sums, they show which anchors occur in two documents.
 2. The neighbouring runs of one anchor are a hull. The hulls of such anchors are keyed by two hashes, 128 bits together, and each key's least
    document is found. In all other documents with that key, all of the hull's runs go.
 3. Runs of hulls in their least document (of hulls that only one document has, too) are keyed alike, one by one. Those are all that can be
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, stored
 from .hashing import bounds, joined, mix, run_hashes, word_hashes
 
-N, K, BITS = 13, 5, 26
+N, K, BITS = 13, 8, 26
 #: Bits of the bitmap of documents that lose words.
 DOC_BITS = 23
 
