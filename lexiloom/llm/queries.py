@@ -59,4 +59,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mixing": mixing.mix_sql()}
+    return {"op2_source_mixing": mixing.mix_sql(), "op7_secret_scan": secrets.scan_sql(), "op9_substring_dedup": substrings.deduplicate_sql()}

@@ -106,3 +106,24 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
     zero = [F.coalesce(f"n_{k}", F.lit(0)).cast("bigint").alias(f"n_{k}") for k in (*BASE, "copied", "specific")]
     text = [F.coalesce(joined(F.col(c)), F.lit("")) for c in ("base", "all")]
     return out.select("doc_id", *zero[:3], F.sha2(text[0], 256).alias("base_sha256"), text[1].alias("spans"), *zero[3:])
+
+
+def scan_sql(copied: int = 3) -> str:
+    """scan() of documents in DuckDB SQL."""
+    parts = ["d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents)"]
+    for place, (kind, (pattern, least, before)) in enumerate((BASE | ADDED).items()):
+        quoted, lead = pattern.replace("'", "''"), before.replace("'", "''")
+        value = f"regexp_replace(m, '{lead}', '')" if before else "m"
+        parts.append(f"""m_{kind} AS (SELECT r, source, regexp_extract_all(text, '{quoted}') AS ms, list_transform(regexp_split_to_array(text, '{quoted}'), lambda x: length(x)) AS gs FROM d),
+        e_{kind} AS (SELECT r, source, unnest(ms) AS m, unnest(list_transform(range(1, len(ms) + 1), lambda i: coalesce(list_sum(gs[1:i]), 0) + coalesce(list_sum(list_transform(ms[1 : i - 1], lambda x: length(x))), 0))) AS a FROM m_{kind}),
+        s_{kind} AS (SELECT r, source, {place} AS place, '{kind}' AS kind, a::BIGINT AS a, a::BIGINT + length(m) AS b, {value} AS v FROM e_{kind} WHERE length({value}) >= {least})""")
+    parts.append("spans AS (" + " UNION ALL ".join(f"SELECT * FROM s_{k}" for k in ORDER) + ")")
+    parts.append(f"own AS (SELECT v, count(DISTINCT coalesce('+' || source, '')) < {copied} AS live FROM spans GROUP BY v)")
+    shown = "string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, place)"
+    parts.append(
+        "per AS (SELECT r, "
+        + ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)
+        + f", {shown} FILTER (place < {len(BASE)}) AS base, {shown} FILTER (place < {len(BASE)} OR live) AS spans, count(*) FILTER (NOT live) AS n_copied, count(*) FILTER (live) AS n_specific FROM spans JOIN own USING (v) GROUP BY r)"
+    )
+    numbers = ", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in (*BASE, "copied", "specific"))
+    return f"WITH {', '.join(parts)} SELECT doc_id, {numbers}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN per USING (r)"

@@ -353,3 +353,14 @@ def removal(n: int):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns_of(out)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     return run
+
+
+def deduplicate_sql(n: int = N) -> str:
+    """deduplicate() of documents in DuckDB SQL: all runs as strings, so for small tables."""
+    return f"""WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+    p AS (SELECT r, doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word FROM w),
+    g AS (SELECT r, doc_id, p AS i, string_agg(word, ' ') OVER o AS run FROM p WINDOW o AS (PARTITION BY r ORDER BY p ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING) QUALIFY count(*) OVER o = {n}),
+    f AS (SELECT run, min(doc_id) AS first FROM g GROUP BY run),
+    gone AS (SELECT DISTINCT r, i + k AS p FROM g JOIN f USING (run), range({n}) t(k) WHERE doc_id > first),
+    kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM p ANTI JOIN gone USING (r, p) GROUP BY r)
+    SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (r)"""
