@@ -13,7 +13,7 @@ HEAD = regex.compile(r"(\*+)\s*(.*)")
 ITEM = regex.compile(r"(\s*)(?:(\d+)\.|[+-]+)\s*(.*)")
 COMMAND = regex.compile(r"\$\s+.*")
 RULE, ROW = regex.compile(r"\s*\|[+-]+\|\s*"), regex.compile(r"\s*(\|.*\|)\s*")
-BEGIN, END = (regex.compile(rf"\s*#\+{w}_(EXAMPLE|SRC|VERSE|CENTER|QUOTE)\s*") for w in ("BEGIN", "END"))
+BEGIN, END = (regex.compile(rf"\s*#\+{w}_(CENTER|EXAMPLE|QUOTE|SRC|VERSE)\s*") for w in ("BEGIN", "END"))
 OPEN = {"SRC": "<pre><code>", "CENTER": "p=."}
 CLOSE = {"SRC": "</code></pre>", "CENTER": ""}
 

@@ -119,7 +119,7 @@ def decontract(text: Column) -> Column:
 
 def normalize_urls(text: Column) -> Column:
     """Scheme names and addresses become +URL+, each on its own: a whole address gives two."""
-    return F.regexp_replace(text, "(https?|ssh|ftp)|://\\S+", "+URL+")
+    return F.regexp_replace(text, "(?:ftp|ssh|https?)|://\\S+", "+URL+")
 
 
 def normalize_currency(text: Column) -> Column:
@@ -135,7 +135,7 @@ def normalize_time(text: Column) -> Column:
 
 
 def normalize_numbers(text: Column) -> Column:
-    return F.regexp_replace(text, "\\b\\d+(,\\d+)*(\\.\\d+)*(s|th|%|st|nd|rd)?\\b", "+NUMBER+")
+    return F.regexp_replace(text, "\\b\\d+(,\\d+)*(\\.\\d+)*(?:st|nd|rd|th|s|%)?\\b", "+NUMBER+")
 
 
 def normalize_abbreviations(text: Column) -> Column:

@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 from .text import let, trim_low
 
 INITIALS = {f"{c}." for c in string.ascii_lowercase}
-ENGLISH_KEPT = INITIALS | set("mr. mrs. ms. mme. dr. a.m. p.m. u.s. e.u. i.d. d.c. t.b. p.s. m.s. m.a. etc. e.t. a.d. b.c. e.g. i.e. 'em ... .... -- 'bout 's".split())
+ENGLISH_KEPT = INITIALS | set("'bout 'em 's -- ... .... a.d. a.m. b.c. d.c. dr. e.g. e.t. e.u. etc. i.d. i.e. m.a. m.s. mme. mr. mrs. ms. p.m. p.s. t.b. u.s.".split())
 ENGLISH_SAID = {"'bout": "about", "'em": "them"}
 ELISIONS = {"j'": "je", "n'": "ne", "d'": "de", "s'": "se", "c'": "ce", "m'": "me", "qu'": "que", "l'": "le"}
 FRENCH_KEPT = INITIALS | set(ELISIONS) | set("m. mme. dr. d.c. ... .... --".split())
 
-ENDS = regex.compile(r"(\p{P}?)(.+?)(\p{P}?)", regex.DOTALL)
+ENDS = regex.compile(r"(?P<lead>\p{P}?)(?P<mid>.+?)(?P<tail>\p{P}?)", regex.DOTALL)
 SPACE = regex.compile(r"(?:\s|\p{Zs})+")
 DIGIT_GAP = regex.compile(r"(?<=\d)\s+(?=\d)")
 WIDE = {code: code - 0xFF01 + 0x21 for code in range(0xFF01, 0xFF5F)}
@@ -76,7 +76,7 @@ def english(text: str) -> list[str]:
 def french(text: str) -> list[str]:
     out = []
     for w in dots(" ".join(peel(w, FRENCH_KEPT) for w in words_of(unified(text)))).split():
-        if m := regex.fullmatch(r"(l|c|s|qu|m|n|j|d)'(.*)", w, regex.IGNORECASE):
+        if m := regex.fullmatch(r"([cdjlmns]|qu)'(.*)", w, regex.IGNORECASE):
             w = f"{m[1]}e {m[2]}"
         if m := regex.fullmatch(r"(.*)-t-(.*)", w, regex.IGNORECASE):
             w = f"{m[1]} {m[2]}"
@@ -86,8 +86,8 @@ def french(text: str) -> list[str]:
 
 #: Letters that stand for laughing or crying, and notes.
 KOREAN_BLANKS = {ord(c): " " for c in "ㅅㅆㅠㅋ♪♫"} | {ord("ㅡ"): "-"}
-NUMBERED = regex.compile(r"(\S*?)(\p{P}*[A-Z0-9_-]+\p{P}*)(\S*?)", regex.IGNORECASE)
-PUNCTUATED = regex.compile(r"(.+?)(\p{P}+)(.?+)", regex.IGNORECASE)
+NUMBERED = regex.compile(r"(?P<lead>\S*?)(?P<number>\p{P}*[-_0-9A-Z]+\p{P}*)(?P<tail>\S*?)", regex.IGNORECASE)
+PUNCTUATED = regex.compile(r"(?P<lead>.+?)(?P<marks>\p{P}+)(?P<tail>.?+)", regex.IGNORECASE)
 
 
 def korean(text: str) -> list[str]:

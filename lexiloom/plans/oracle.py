@@ -104,11 +104,11 @@ ORACLE: dict[str, str] = {
     "lower_case": shown("lower(text)"),
     "regex_replace": shown(replaced("[aeiou]+", "_")),
     "decontract": shown(replaced("'d\\b", " would", replaced("'re\\b", " are", replaced("n't\\b", " not", replaced("'ll\\b", " will", replaced("'s\\b", " is")))))),
-    "normalize_urls": shown(replaced("(https?|ssh|ftp)|://[^\\s\\x0B]+", "+URL+")),
+    "normalize_urls": shown(replaced("(?:ftp|ssh|https?)|://[^\\s\\x0B]+", "+URL+")),
     "normalize_currency": shown(replaced("\\p{Sc}\\d+(,\\d+)*\\.?(\\d+)?", "+CURRENCY+")),
     "normalize_date": shown(replaced("\\b\\d+/\\d+/\\d+\\b", "+DATE+")),
     "normalize_time": shown(replaced("\\b\\d+:\\d+(:\\d+)?\\b", "+TIME+")),
-    "normalize_numbers": shown(replaced("\\b\\d+(,\\d+)*(\\.\\d+)*(s|th|%|st|nd|rd)?\\b", "+NUMBER+")),
+    "normalize_numbers": shown(replaced("\\b\\d+(,\\d+)*(\\.\\d+)*(?:st|nd|rd|th|s|%)?\\b", "+NUMBER+")),
     "normalize_abbreviations": shown(replaced("([A-Z]\\.)[\\s\\x0B]*([A-Z]\\.)", "\\1\\2")),
     "normalize_punctuation": shown(replaced("\\p{Pe}", ")", replaced("\\p{Ps}", "(", replaced("\\p{Pi}|\\p{Pf}", '"', replaced("\\p{Pd}", "-", replaced("[\\x{2026}\\x{22ee}\\x{fe19}]", "...")))))),
     "strip_trailing_quote": shown("regexp_replace(text || '\"', '\"$', '')"),
