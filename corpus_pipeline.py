@@ -40,8 +40,8 @@ def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the raked probabilities sample."""
-    return mixing.sample(docs)
+    """The documents that the raked weights sample, in as many copies as the weights ask."""
+    return mixing.repeated(docs)
 
 
 STAGES = [

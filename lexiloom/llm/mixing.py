@@ -5,6 +5,11 @@ topic are scaled so that they sum to that margin's target, round after round. A
 probability min(1, rate * raked weight of its cell / tokens of its cell), by a hash of its id, so the
 sample is the same wherever and however often it is drawn.
 
+A cell whose ratio (rate * raked weight / tokens) exceeds 1 can't give its weight by documents drawn once. `repeated` therefore gives each document
+the whole number of copies in the ratio, and one more with the probability of its fraction, by the same hash: the expected tokens of every
+cell are rate * raked weight, so the margins hold. `p` is the probability of at least one copy; `sample` has every drawn document once, and so misses
+the targets wherever a ratio exceeds 1.
+
 Cells, not documents, are raked: one aggregation with partial sums shuffles the corpus once, as one row
 a cell and task, and a cell that holds a third of all rows is no larger than another. The cells come back to the
 documents by a join on the three columns: broadcast after a count shows them few, else by shuffle.
@@ -19,6 +24,8 @@ share their fate. Columns topic, n_tokens, p and kept of the input are replaced
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,27 +88,40 @@ def rake(cell: DataFrame, targets: dict[str, dict[str | None, float]] | None = N
 
 
 def probabilities(docs: DataFrame, targets: dict | None = None, alpha: float = ALPHA, rounds: int = ROUNDS, rate: float = RATE) -> DataFrame:
-    """docs with topic, n_tokens, p (probability to be sampled) and kept (whether the id's hash falls below p)."""
+    """docs with topic, n_tokens, p (probability to be sampled), kept (whether the id's hash falls below p), ratio (expected copies) and times (copies)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    docs = docs.drop("p", "kept").withColumns({"topic": topic(text), "n_tokens": tokens(text).cast("bigint")})
+    docs = docs.drop("p", "kept", "ratio", "times").withColumns({"topic": topic(text), "n_tokens": tokens(text).cast("bigint")})
     cell = rake(cut(cells(docs)), targets, alpha, rounds)
     whole = cell.agg(F.sum("tokens")).first()[0] or 0.0
-    share = cell.withColumn("p", F.least(F.lit(1.0), F.lit(rate) * F.col("weight") * F.lit(whole) / F.col("tokens")))
-    share = cut(share.select(*[F.col(m).alias(f"_{m}") for m in MARGINS], "p"))
+    share = cell.withColumn("ratio", F.lit(rate) * F.col("weight") * F.lit(whole) / F.col("tokens"))
+    share = cut(share.select(*[F.col(m).alias(f"_{m}") for m in MARGINS], "ratio"))
     if share.count() <= MOST_BROADCAST:
         share = F.broadcast(share)
     same = [F.col(m).eqNullSafe(F.col(f"_{m}")) for m in MARGINS]
     out = docs.join(share, same, "left").drop(*[f"_{m}" for m in MARGINS])
-    p = F.when((F.col("n_tokens") > 0) & F.col("doc_id").isNotNull(), F.coalesce("p", F.lit(0.0))).otherwise(0.0)
-    return out.withColumn("p", p).withColumn("kept", F.coalesce(uniform(F.col("doc_id")) < F.col("p"), F.lit(False)))
+    ratio = F.when((F.col("n_tokens") > 0) & F.col("doc_id").isNotNull(), F.coalesce("ratio", F.lit(0.0))).otherwise(0.0)
+    out = out.withColumn("ratio", ratio).withColumn("p", F.least(F.lit(1.0), "ratio"))
+    more = (uniform(F.col("doc_id")) < F.col("ratio") - F.floor("ratio")).cast("bigint")
+    out = out.withColumn("kept", F.coalesce(uniform(F.col("doc_id")) < F.col("p"), F.lit(False)))
+    return out.withColumn("times", F.floor("ratio") + F.coalesce(more, F.lit(0)))
 
 
-def sample(docs: DataFrame, **options) -> DataFrame:
-    """The sampled rows of docs, with docs' own columns (also where one is named as a column that is made here)."""
+def drawn(docs: DataFrame, rows: Callable[[DataFrame], DataFrame], **options) -> DataFrame:
+    """rows() of probabilities(), with docs' own columns (also where one is named as a column that is made here)."""
     used = {"doc_id", "source", "lang", "text"}
     own = {c: c if c in used else f"_own_{c}" for c in docs.columns}
-    drawn = probabilities(docs.select([F.col(f"`{c}`").alias(n) for c, n in own.items()]), **options).where("kept")
-    return drawn.select([F.col(f"`{n}`").alias(c) for c, n in own.items()])
+    out = rows(probabilities(docs.select([F.col(f"`{c}`").alias(n) for c, n in own.items()]), **options))
+    return out.select([F.col(f"`{n}`").alias(c) for c, n in own.items()])
+
+
+def sample(docs: DataFrame, **options) -> DataFrame:
+    """The sampled rows of docs, each once."""
+    return drawn(docs, lambda d: d.where("kept"), **options)
+
+
+def repeated(docs: DataFrame, **options) -> DataFrame:
+    """The sampled rows of docs, each as often as its cell's weight asks."""
+    return drawn(docs, lambda d: d.where("times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "times"))), **options)
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:

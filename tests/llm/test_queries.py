@@ -148,6 +148,32 @@ def test_raking_meets_the_margins(spark):
             assert abs(sum(r.weight for r in got if r[m] == value) - weight / sum(shares.values())) < 1e-6
 
 
+def test_repeated_rows_meet_the_margins(spark):
+    """Cells of very unequal size, so that ratios exceed 1; the margins are those of the sample that comes out."""
+    rows, d = [], 0
+    for source, lang, n in [("a", "x", 6000), ("a", "y", 300), ("b", "x", 200), ("b", "y", 1500)]:
+        for _ in range(n):
+            rows.append((d := d + 1, "one two three" if d % 10 else "see | this", lang, source))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    want = {"source": {"a": 1.0, "b": 1.0}, "lang": {"x": 1.0, "y": 1.0}, "topic": {"table": 1.0, "prose": 1.0}}
+    odds = mixing.probabilities(frame, want, rounds=40).collect()
+    assert max(r.ratio for r in odds) > 1 and all(r.kept == (r.times > 0) and abs(r.times - r.ratio) < 1 for r in odds)
+    whole, asked = sum(r.n_tokens for r in odds), sum(r.ratio * r.n_tokens for r in odds)
+    assert abs(asked - 0.5 * whole) < 1e-6 * whole
+    for m, shares in want.items():
+        for value in shares:
+            assert abs(sum(r.ratio * r.n_tokens for r in odds if r[m] == value) / asked - 0.5) < 1e-3
+    times = {r.doc_id: r.times for r in odds}
+    got = mixing.repeated(frame, targets=want, rounds=40).collect()
+    assert len(got) == sum(times.values()) and {d: sum(r.doc_id == d for r in got) for d in (10, 11, 6500)} == {d: times[d] for d in (10, 11, 6500)}
+    by = {}
+    for r in got:
+        for m, v in (("source", r.source), ("lang", r.lang), ("topic", "table" if "|" in r.text else "prose")):
+            by[m, v] = by.get((m, v), 0) + len(r.text.split())
+    assert all(abs(by[m, v] / (sum(n for (o, _), n in by.items() if o == m)) - 0.5) < 0.03 for m, v in by)
+    assert corpus_pipeline.mix(spark, frame, SF).count() == sum(r.times for r in mixing.probabilities(frame).collect()) > mixing.sample(frame).count()
+
+
 def test_pipeline_against_brute_force(spark):
     """Every stage's decision, made again on what its predecessor wrote."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
