@@ -4,11 +4,11 @@
 (rectangle sums of an integral image over frames and pitch classes, compared in the log domain) give two bits each, in Gray code.
 
 `match` aligns recordings. Every row whose id is divisible by `every` is a query; queries are taken in blocks of a bounded number of
-frames, which are broadcast, and searched for in all rows. A frame of a row that is equal to a frame of a query votes for
-the offset between them; each offset that the votes of a pair prefer is verified by the share of bits that differ
-over the whole overlap. Rows with one fingerprint are one class: a class is searched once, and the classes' members are
-a table of their own, so copies aren't expanded into pairs. A frame that a third of all rows hold costs each row no more than
-its votes in one block: votes are counted in a histogram, never emitted as rows.
+frames, which are broadcast, and searched for in all rows. Every offset of every pair is tried: with bits as signs, agreement is a
+cross-correlation, which a product of spectra gives for all offsets at once. Offsets that may pass are then verified by the share of bits
+that differ over the whole overlap, counted exactly, so no match is missed for want of equal frames. `votes`, the frames equal in all
+bits at the offset, only break ties. Rows with one fingerprint are one class: a class is searched once, and the classes' members are
+a table of their own, so copies aren't expanded into pairs.
 
 The test tables hold no recordings. `rendered` makes them from a vector: its numbers are the notes of a melody,
 so equal vectors sound equal and similar vectors sound similar. It stands for the decoder of a media column.
@@ -36,6 +36,8 @@ CUTS = (-0.15, 0.0, 0.15)
 GRAY = np.array([0, 1, 3, 2], np.uint32)
 #: Frames of all queries in a block: what is broadcast is bounded by it.
 BLOCK_FRAMES = 200_000
+#: Numbers that a comparison holds at a time.
+MOST_CELLS = 4_000_000
 
 
 def chroma(samples: np.ndarray, rate: int = RATE) -> np.ndarray:
@@ -125,47 +127,108 @@ def classes(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
     return named.groupBy("class_id").agg(F.first("frames").alias("frames")), named.select("id", "class_id")
 
 
+def signs(frames: np.ndarray) -> np.ndarray:
+    """(frames, 32): 1 for a set bit, -1 for another."""
+    return np.unpackbits(frames.astype(np.uint32).view(np.uint8)).reshape(-1, 32).astype(np.float32) * 2 - 1
+
+
 class Block:
-    """Queries of one block, indexed by frame."""
+    """Queries of one block, in groups of like length, with the spectra of their bits."""
 
     def __init__(self, ids: list[str], frames: list[np.ndarray]):
         self.ids, self.frames = ids, frames
-        flat = np.concatenate(frames) if frames else np.zeros(0, np.uint32)
-        owner = np.repeat(np.arange(len(frames)), [len(f) for f in frames])
-        place = np.concatenate([np.arange(len(f)) for f in frames]) if frames else np.zeros(0, int)
-        order = np.argsort(flat, kind="stable")
-        self.flat, self.owner, self.place = flat[order], owner[order].astype(np.int64), place[order].astype(np.int64)
+        self.size = np.array([len(f) for f in frames], np.int64)
+        power = np.ceil(np.log2(np.maximum(self.size, 1)))
+        self.groups = [np.flatnonzero(power == k) for k in np.unique(power)]
+        self.spectra: dict[int, np.ndarray] = {}  # made where they are used, not sent
+
+    def spectrum(self, k: int) -> tuple[int, int, np.ndarray]:
+        """Longest query and transform's length of group k, and (frequencies, queries, 32) of its queries, backwards, so that a product is a correlation."""
+        most = int(self.size[self.groups[k]].max())
+        length = max(128, 1 << (2 * most - 1).bit_length())
+        if k not in self.spectra:
+            bits = np.zeros((len(self.groups[k]), most, 32), np.float32)
+            for i, q in enumerate(self.groups[k]):
+                bits[i, most - self.size[q] :] = signs(self.frames[q])[::-1]
+            self.spectra[k] = np.ascontiguousarray(np.fft.rfft(bits, length, axis=1).astype(np.complex64).transpose(1, 0, 2))
+        return most, length, self.spectra[k]
+
+    def candidates(self, rows: list[np.ndarray], most_errors: float, least_overlap: int) -> Iterator[tuple[int, int, int]]:
+        """(row, query, offset), in the order of offsets, of all that may pass. rows: of one length."""
+        n = len(rows[0])
+        bits = np.stack([signs(r) for r in rows])
+        for k, members in enumerate(self.groups):
+            most, length, spectra = self.spectrum(k)
+            step = length - most + 1
+            parts = -(-n // step)
+            cells = np.zeros((len(rows), parts * step, 32), np.float32)
+            cells[:, :n] = bits
+            other = np.fft.rfft(cells.reshape(len(rows) * parts, step, 32), length, axis=1).astype(np.complex64).transpose(1, 2, 0)
+            width = parts * step + most - 1
+            offset = np.arange(width) - (most - 1)
+            few = max(1, MOST_CELLS // (len(rows) * (width + length * parts)))
+            for lo in range(0, len(members), few):
+                some = members[lo : lo + few]
+                both = np.ascontiguousarray((spectra[:, lo : lo + few] @ other).transpose(1, 2, 0))
+                agree = np.fft.irfft(both, length, axis=2).reshape(len(some), len(rows), parts, length)
+                if parts == 1:
+                    total = agree[:, :, 0]
+                else:
+                    total = np.zeros((len(some), len(rows), width), np.float32)
+                    for p in range(parts):
+                        total[:, :, p * step : p * step + length] += agree[:, :, p]
+                overlap = np.minimum(self.size[some, None], n - offset) - np.maximum(0, -offset)
+                # Half a bit, and what single precision may lose, are allowed for; the exact count decides.
+                least = np.where(overlap >= max(1, least_overlap), 32 * overlap * (1 - 2 * most_errors) - 0.5 - 3e-4 * most, np.inf).astype(np.float32)
+                q, r, t = np.nonzero(total >= least[:, None, :])
+                yield from zip(r.tolist(), some[q].tolist(), offset[t].tolist())
+
+    def search_all(self, rows: list[np.ndarray], most_errors: float, least_overlap: int) -> list[list[tuple[int, int, int, float]]]:
+        """For each row (query, offset, votes, share of wrong bits) of the best offset of each query that passes."""
+        best: list[dict[int, tuple[float, int, int]]] = [{} for _ in rows]
+        lengths = np.array([len(r) for r in rows], np.int64)
+        for n in np.unique(lengths[lengths > 0]):
+            same = np.flatnonzero(lengths == n)
+            few = max(1, min(16, BLOCK_FRAMES // int(n)))
+            for lo in range(0, len(same), few):
+                part = same[lo : lo + few]
+                for r, q, offset in self.candidates([rows[i] for i in part], most_errors, least_overlap):
+                    row, own = rows[part[r]], best[part[r]]
+                    wrong, overlap = errors(self.frames[q], row, offset)
+                    if overlap >= least_overlap and wrong <= most_errors:
+                        v = equal(self.frames[q], row, offset)
+                        if (wrong, -v) < own.get(q, (2.0, 0, 0))[:2]:
+                            own[q] = (wrong, -v, offset)
+        return [[(q, offset, -v, wrong) for q, (wrong, v, offset) in own.items()] for own in best]
 
     def search(self, row: np.ndarray, least_votes: int, most_errors: float, least_overlap: int) -> list[tuple[int, int, int, float]]:
-        """(query, offset, votes, share of wrong bits) of the best offset of each query that passes."""
-        lo, hi = np.searchsorted(self.flat, row, "left"), np.searchsorted(self.flat, row, "right")
-        n = hi - lo
-        if not n.sum():
-            return []
-        take = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        shift = np.repeat(np.arange(len(row)), n) - self.place[take]
-        key, votes = np.unique(self.owner[take] << 32 | (shift + (1 << 31)), return_counts=True)
-        some = votes >= least_votes
-        best: dict[int, tuple[float, int, int]] = {}
-        for k, v in zip(key[some].tolist(), votes[some].tolist()):
-            q, offset = k >> 32, (k & 0xFFFFFFFF) - (1 << 31)
-            wrong, overlap = errors(self.frames[q], row, offset)
-            if overlap >= least_overlap and wrong <= most_errors and (wrong, -v) < best.get(q, (2.0, 0, 0))[:2]:
-                best[q] = (wrong, -v, offset)
-        return [(q, offset, -v, wrong) for q, (wrong, v, offset) in best.items()]
+        """search_all() of one row. least_votes has no effect: every offset is tried, whatever its votes."""
+        return self.search_all([row], most_errors, least_overlap)[0]
+
+
+def overlapping(query: np.ndarray, row: np.ndarray, offset: int) -> np.ndarray:
+    """Bits that differ, one integer a frame, where the query, shifted by offset, overlaps the row."""
+    a, b = max(0, -offset), max(0, offset)
+    n = max(0, min(len(query) - a, len(row) - b))
+    return query[a : a + n] ^ row[b : b + n]
+
+
+def equal(query: np.ndarray, row: np.ndarray, offset: int) -> int:
+    """Frames that are equal in all bits."""
+    return int((overlapping(query, row, offset) == 0).sum())
 
 
 def errors(query: np.ndarray, row: np.ndarray, offset: int) -> tuple[float, int]:
     """Share of wrong bits and number of frames where the query, shifted by offset, overlaps the row."""
-    a, b = max(0, -offset), max(0, offset)
-    n = min(len(query) - a, len(row) - b)
-    if n <= 0:
+    differ = overlapping(query, row, offset)
+    if not len(differ):
         return 1.0, 0
-    return float(np.bitwise_count(query[a : a + n] ^ row[b : b + n]).sum() / (32 * n)), n
+    return float(np.bitwise_count(differ).sum() / (32 * len(differ))), len(differ)
 
 
 def match(prints: DataFrame, every: int = 50, least_votes: int = 4, most_errors: float = 0.15, least_overlap: int = 32) -> tuple[DataFrame, DataFrame]:
-    """(query_class, class_id, offset, votes, bit_errors) of other classes, and (id, class_id) of all rows."""
+    """(query_class, class_id, offset, votes, bit_errors) of other classes, and (id, class_id) of all rows.
+    least_votes has no effect: every offset is tried, whatever its votes."""
     spark = prints.sparkSession
     prints = cut(prints)
     distinct, members = classes(prints)
@@ -183,9 +246,8 @@ def match(prints: DataFrame, every: int = 50, least_votes: int = 4, most_errors:
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             block = shared.value
             for batch in batches:
-                rows = []
-                for c, f in zip(batch.column("class_id").to_pylist(), batch.column("frames")):
-                    found = block.search(f.values.to_numpy().astype(np.uint32), least_votes, most_errors, least_overlap)
+                rows, frames = [], [f.values.to_numpy().astype(np.uint32) for f in batch.column("frames")]
+                for c, found in zip(batch.column("class_id").to_pylist(), block.search_all(frames, most_errors, least_overlap)):
                     rows += [(block.ids[q], c, offset, votes, wrong) for q, offset, votes, wrong in found if block.ids[q] != c]
                 columns = list(zip(*rows)) if rows else [()] * 5
                 kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64())

@@ -17,6 +17,40 @@ def test_noise_and_offset_keep_the_match():
     assert audio.Block(["q"], [b]).search(other, 4, 0.15, 32) == []
 
 
+def noisy_cuts(melodies, levels):
+    """(melody's number, cut recording): cut half a hop beside the grid, with noise."""
+    rng = np.random.default_rng(5)
+    for level in levels:
+        for i, m in enumerate(melodies):
+            part = m[audio.HOP * (i % 9) + audio.HOP // 2 :]
+            yield i, audio.fingerprint(part + (level * rng.standard_normal(len(part))).astype(np.float32))
+
+
+def brute_force(query, row, most_errors=0.15, least_overlap=32):
+    """The best offset's wrong bits, or None."""
+    tried = [audio.errors(query, row, o) for o in range(1 - len(query), len(row))]
+    return min((w for w, n in tried if n >= least_overlap and w <= most_errors), default=None)
+
+
+def test_recall_against_brute_force_over_all_offsets():
+    whole = [melody(s, 32 + s % 3 * 40) for s in range(24)]
+    block, few = audio.Block([str(i) for i in range(24)], [audio.fingerprint(m) for m in whole]), 0
+    for i, row in noisy_cuts(whole, (0.0, 0.1, 0.15, 0.2, 0.25, 0.3)):
+        want = {q: w for q in range(24) if (w := brute_force(block.frames[q], row)) is not None}
+        got = block.search(row, 4, 0.15, 32)
+        assert {q: wrong for q, _, _, wrong in got} == want
+        few += sum(votes < 4 for _, _, votes, _ in got)
+    assert few > 0
+
+
+def test_long_rows_in_parts():
+    rng = np.random.default_rng(6)
+    row = rng.integers(0, 1 << 32, 900, dtype=np.uint32)
+    queries = [row[a:b] ^ np.uint32(1 << 7 | 1 << 30) for a, b in ((0, 40), (55, 120), (130, 190), (500, 900), (860, 900))]
+    found = audio.Block(list("abcde"), queries).search(row, 4, 0.15, 32)
+    assert sorted(found) == [(q, o, 0, 0.0625) for q, o in enumerate((0, 55, 130, 500, 860))]
+
+
 def test_integral_image_filter_against_sums():
     energy = audio.chroma(melody(3))
     row, t = audio.packed(energy), 7
