@@ -10,7 +10,8 @@ three blocks emit 67 and find the same pairs, because the verification is exact
 Exact copies are one class before anything is emitted, so a group of copies costs one fingerprint.
 
 Nulls: a null text counts as empty. Texts without words have fingerprint zero and link like any other.
-A row with a null id is kept with its own class; repeated ids count as rows of their own.
+A row with a null id is in its own class as any other; repeated ids count as rows of their own. keep_one
+keeps exactly one row of each component: that of the least id, nulls last, and of the least key of id and text.
 """
 
 from __future__ import annotations
@@ -33,24 +34,31 @@ def shingles(text: Column) -> Column:
     return F.arrays_zip(F.slice(words, F.lit(1), n).alias("a"), F.slice(words, F.lit(2), n).alias("b"))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp bigint), one row for each row of docs.
+def row_key(doc_id: Column, text: Column) -> Column:
+    """A hash that rows share only if they have the same id and text; it is the same wherever it is computed."""
+    own = F.coalesce(doc_id.cast("string"), F.lit(""))
+    kinds = F.concat_ws(",", F.length(own), doc_id.isNull().cast("string"), text.isNull().cast("string"))
+    return F.unhex(F.sha2(F.concat(kinds, F.lit(":"), own, F.coalesce(text, F.lit(""))), 256))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp bigint), and the columns to carry, one row for each row of docs.
 
     32 sums hold 64 counters of 32 bits each: sum i counts bit i in its low and bit i + 32 in its
     high half. The sums are made on the map side, so 33 numbers a document are shuffled, no shingles.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("doc_id"), shingles(F.col(text_col)).alias("_s"))
-    rows = rows.select("_row", "doc_id", F.inline_outer("_s").alias("a", "b"))
-    rows = rows.select("_row", "doc_id", F.col("a").isNotNull().cast("int").alias("_one"), F.xxhash64(F.concat_ws(" ", "a", "b")).alias("_h"))
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("doc_id"), *carry, shingles(F.col(text_col)).alias("_s"))
+    rows = rows.select("_row", "doc_id", *carry, F.inline_outer("_s").alias("a", "b"))
+    rows = rows.select("_row", "doc_id", *carry, F.col("a").isNotNull().cast("int").alias("_one"), F.xxhash64(F.concat_ws(" ", "a", "b")).alias("_h"))
     sums = [F.sum(F.shiftrightunsigned("_h", i).bitwiseAND(F.lit(LANES))).alias(f"_{i}") for i in range(32)]
-    counted = rows.groupBy("_row", "doc_id").agg(F.sum("_one").alias("_n"), *sums)
+    counted = rows.groupBy("_row", "doc_id", *carry).agg(F.sum("_one").alias("_n"), *sums)
     fp = F.lit(0).cast("bigint")
     for i in range(32):
         low, high = F.col(f"_{i}").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(f"_{i}", 32)
         fp = fp.bitwiseOR(F.when(low * 2 > F.col("_n"), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint"))
         bit = (1 << (i + 32)) - (1 << 64 if i == 31 else 0)
         fp = fp.bitwiseOR(F.when(high * 2 > F.col("_n"), F.lit(bit)).otherwise(F.lit(0)).cast("bigint"))
-    return counted.select("doc_id", F.when(F.col("_n") > 0, fp).otherwise(F.lit(0).cast("bigint")).alias("fp"))
+    return counted.select("doc_id", *carry, F.when(F.col("_n") > 0, fp).otherwise(F.lit(0).cast("bigint")).alias("fp"))
 
 
 def ball(radius: int, blocks: int) -> list[tuple[int, int, int, int]]:
@@ -98,22 +106,33 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"no fixed point in {rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 6, blocks: int = 3) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), n_near (other rows linked directly), component_id (least id reachable)."""
-    fps = cut(fingerprints(docs, id_col, text_col))
+def linked(fps: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """fp, n (rows), first (least id), others (rows linked directly), root (least fingerprint reachable) of the distinct fingerprints of fps."""
     classes = cut(fps.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")))
     pairs = cut(linked_pairs(classes.select("fp"), radius, blocks))
     directed = pairs.union(pairs.select("b", "a"))
     near = directed.join(classes.select(F.col("fp").alias("b"), "n"), "b").groupBy(F.col("a").alias("fp")).agg(F.sum("n").alias("others"))
     roots = components(pairs).withColumnRenamed("node", "fp")
-    member = classes.join(near, "fp", "left").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return classes.join(near, "fp", "left").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 6, blocks: int = 3) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), n_near (other rows linked directly), component_id (least id reachable)."""
+    fps = cut(fingerprints(docs, id_col, text_col))
+    member = linked(fps, radius, blocks)
     least = member.groupBy("root").agg(F.min("first").alias("component_id"))
     known = member.join(least, "root").select("fp", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"), "component_id")
     return fps.join(known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "n_near", "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = 6, blocks: int = 3) -> DataFrame:
-    """The rows of docs whose id is the least of its group. Rows that repeat a kept id count once."""
-    kept = near_duplicates(docs, radius=radius, blocks=blocks).where("doc_id = component_id").select("doc_id").distinct()
-    once = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return docs.join(kept, "doc_id", "left_semi").withColumn("_once", once).where("_once = 1").drop("_once").select(docs.columns)
+    """Exactly one row of docs for each component: the least by id (nulls last), then by the key of id and text."""
+    keyed = docs.withColumn("_key", row_key(F.col("doc_id"), F.col("text")))
+    fps = cut(fingerprints(keyed, carry=("_key",)))
+    root = linked(fps, radius, blocks).select("fp", "root")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_key")
+    kept = fps.join(root, "fp").groupBy("root").agg(F.min_by("_key", order).alias("_key")).select("_key")
+    # Rows of one key have one fingerprint, so each key stands for one component; what else they hold decides between them.
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    once = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(*plain)))
+    return keyed.join(kept, "_key", "left_semi").withColumn("_once", once).where("_once = 1").select(docs.columns)

@@ -86,6 +86,14 @@ def test_simhash_edges(spark):
     assert simhash.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_keep_one_keeps_a_row_of_each_component(spark):
+    texts = ["the quick brown fox jumps", "rain falls on seven hills tonight", "market prices rose again in spring", "no id and no copy of this at all"]
+    rows = [(5, texts[0]), (5, texts[1]), (3, texts[1].upper()), (None, texts[2]), (None, texts[2]), (None, texts[3]), (7, texts[3]), (8, None), (None, ""), (9, "x y"), (9, "x y"), (None, "alone without id")]
+    frame = spark.createDataFrame([(d, t, k) for k, (d, t) in enumerate(rows)], "doc_id long, text string, n int")
+    got = sorted(((r.doc_id, r.text) for r in simhash.keep_one(frame).collect()), key=repr)
+    assert got == sorted([(5, texts[0]), (3, texts[1].upper()), (None, texts[2]), (7, texts[3]), (8, None), (9, "x y"), (None, "alone without id")], key=repr)
+
+
 @pytest.mark.parametrize("blocks", [2, 3])
 def test_ball_hashing_finds_every_pair(spark, blocks):
     import random
