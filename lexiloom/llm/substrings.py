@@ -10,12 +10,16 @@ at each word and occurs in the shard) give the spans of n words or more.
 all documents, which grows as the square of the corpus (figures in the README). So equal runs meet by shuffle, exactly, in passes over the texts:
 1. A run's anchor is the run of `k` words inside it with the least hash. Equal runs have equal anchors, and neighbouring runs share them, so
    anchors are a third of the runs. Shorter anchors would be fewer, but repeat by chance, which grows as the square of the corpus. Counted with partial sums, they show which anchors occur in two documents.
-2. The neighbouring runs of one anchor are a hull. The hulls of such anchors are keyed by two hashes, 128 bits together, and each key's least
+2. The neighbouring runs of one anchor are a hull. The hulls of repeated anchors are keyed by their hash, beside the anchor, and each key's least
    document is found. In all other documents with that key, all of the hull's runs go.
-3. Runs of hulls in their least document (of hulls that only one document has, too) are keyed alike, one by one. Those are all that can be
-   a run's first occurrence, and all whose hull doesn't settle them. Again all but the least document's go.
-4. What the runs to go cover leaves the text. Only documents with such runs have their text shuffled.
-What a pass learns reaches the next as a bitmap of fixed size (`bits`, 8 MB at most as given): a full one costs time, not results.
+3. Where all of an anchor's hulls have one key, that settles all its runs: each occurs wherever the others do. Only where an anchor has
+   several keys, the runs of hulls in their least document are keyed one by one. Again all but the least document's go.
+4. A bitmap of (key, least document) tells every document what to keep: a key that it doesn't hold for a document has an earlier one, for
+   certain, and goes without any shuffle. A key that it does hold is the least document's, or one of the few that share its bit;
+   those keys alone are shuffled once more, and compared with the least document itself.
+5. What the runs to go cover leaves the text. Only documents for which step 4 found more have their text shuffled.
+Bitmaps are sized by the number of their entries, `LOAD` bits each, so the share that they let through doesn't grow with the corpus, up to 2 ** `MOST_BITS` bits (64 MB);
+beyond that a bitmap lets more through, which costs shuffled rows (one hull every 3.5 words at most), not results.
 
 A run that a third of all documents hold is one row a task in the partial sums, and one row of the smaller side of the joins.
 
@@ -37,9 +41,13 @@ from pyspark.sql import functions as F
 from .common import small_batches, stored
 from .hashing import bounds, joined, mix, run_hashes, word_hashes
 
-N, K, BITS = 13, 8, 26
-#: Bits of the bitmap of documents that lose words.
-DOC_BITS = 23
+N, K = 13, 8
+#: Bits of a bitmap for each of its entries, and the largest bitmap as a power of two.
+LOAD, MOST_BITS = 16, 29
+#: Places that the driver takes as they are; more are united on the executors first.
+MOST_PLACES = 1 << 23
+#: An anchor's low bits aren't sent: 40 bits and a key of 64 tell hulls and runs apart.
+ANCHOR_MASK = np.uint64(0xFFFFFFFFFF000000)
 
 
 class SuffixAutomaton:
@@ -193,12 +201,18 @@ class Bitmap:
         self.words, self.bits = words, bits
 
     @staticmethod
-    def of(df: DataFrame, value: str, bits: int) -> Bitmap:
-        """What is collected is bounded by the bitmap's size, whatever df holds."""
+    def of(df: DataFrame, value: str, n: int, bits: int | None = None) -> Bitmap:
+        """Of the n values of df. What is collected is bounded by the bitmap's size or by MOST_PLACES, whatever df holds."""
+        if bits is None:
+            bits = min(MOST_BITS, max(12, (n * LOAD - 1).bit_length()))
         place = F.shiftrightunsigned(value, 64 - bits)
+        out = np.zeros(1 << (bits - 6), np.uint64)
+        if n <= MOST_PLACES:
+            places = df.select(place.cast("int").alias("p")).toArrow().column("p").to_numpy().astype(np.int64)
+            np.bitwise_or.at(out, places >> 6, np.uint64(1) << (places & 63).astype(np.uint64))
+            return Bitmap(out, bits)
         words = df.select(F.shiftright(place, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(F.lit(63)).cast("int")).alias("b"))
         got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-        out = np.zeros(1 << (bits - 6), np.uint64)
         out[got.column("w").to_numpy()] = got.column("b").to_numpy().view(np.uint64)
         return Bitmap(out, bits)
 
@@ -249,80 +263,140 @@ def later(rows: DataFrame, known: DataFrame) -> DataFrame:
     return rows.hint("merge").join(first, ["anchor", "key"]).where("doc_id > first").select("doc_id", "at", "size")
 
 
-def deduplicate(docs: DataFrame, n: int = N, k: int = K, bits: int = BITS) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 for every row of docs (doc_id, text). Ids are integers."""
+class Found:
+    """Hulls with repeated anchors in a batch: owner's text, place, runs, anchor, key and document, as arrays side by side."""
+
+    def __init__(self, texts: list[bytes], ids: np.ndarray, anchors: Bitmap, n: int, k: int):
+        self.owner, self.place, anchor, new, self.run = runs(texts, n, k)
+        self.anchor = anchor & ANCHOR_MASK
+        start, size, key = hulls(self.owner, new, self.run)
+        use = anchors.has(self.anchor[start])
+        self.start, self.size, self.key = start[use], size[use], key[use]
+        self.ids = ids
+
+    def first(self, settled: Bitmap) -> np.ndarray:
+        """Which hulls may be in their key's least document; the others have an earlier one for certain."""
+        return settled.has(with_doc(self.key, self.ids[self.owner[self.start]]))
+
+    def single(self, some: np.ndarray, several: Bitmap) -> np.ndarray:
+        """The runs of those of the hulls some whose anchor has several keys."""
+        some = some & several.has(self.anchor[self.start])
+        start, size = self.start[some], self.size[some]
+        return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def deduplicate(docs: DataFrame, n: int = N, k: int = K, bits: int | None = None) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 for every row of docs (doc_id, text). Ids are integers.
+    bits: a fixed size of all bitmaps, as a power of two, instead of one that follows the entries."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     known = rows.where("doc_id IS NOT NULL")
-    send = spark.sparkContext.broadcast
+
+    def bitmap(df: DataFrame, value: Column | str):
+        return spark.sparkContext.broadcast(Bitmap.of(df.select(F.col(value).alias("_v") if isinstance(value, str) else value.alias("_v")), "_v", df.count(), bits))
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             owner, _, anchor, new, _ = runs(texts_of(batch.column("text")), n, k)
-            anchor, doc = anchor[new], ids[owner[new]]
+            anchor, doc = anchor[new] & ANCHOR_MASK, ids[owner[new]]
             order = np.lexsort((doc, anchor))  # one row for each anchor of the batch
             anchor, doc = anchor[order], doc[order]
             edge = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])) if len(anchor) else np.zeros(0, int)
             end = np.append(edge[1:], len(anchor)) - 1
             yield pa.RecordBatch.from_arrays([pa.array(anchor[edge].view(np.int64)), pa.array(doc[edge]), pa.array(doc[end[: len(edge)]])], ["anchor", "lo", "hi"])
 
-    anchors = known.mapInArrow(first_pass, "anchor bigint, lo bigint, hi bigint")
-    repeated = anchors.groupBy("anchor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
-    anchor_bits = send(Bitmap.of(repeated, "anchor", bits))
+    def found_in(batch: pa.RecordBatch) -> tuple[list[bytes], Found]:
+        texts = texts_of(batch.column("text"))
+        return texts, Found(texts, batch.column("doc_id").to_numpy(zero_copy_only=False), anchors.value, n, k)
+
+    def hull_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, f = found_in(batch)
+            yield from sent(("anchor", f.anchor[f.start]), ("key", f.key), ("doc_id", f.ids[f.owner[f.start]]))
 
-    def keyed(level: str, settled=None, wanted=None) -> DataFrame:
-        """anchor, key, doc_id, at, size of the hulls ("hull") or runs ("run") of repeated anchors. settled: for runs, hulls by
-        hash and least document; wanted: keys that are needed. Both bitmaps let some more through."""
+    def run_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, f = found_in(batch)
+            at = f.single(f.first(hull_firsts.value), several.value)
+            yield from sent(("anchor", f.anchor[at]), ("key", f.run[at]), ("doc_id", f.ids[f.owner[at]]))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids, texts = batch.column("doc_id").to_numpy(zero_copy_only=False), texts_of(batch.column("text"))
-                owner, place, anchor, new, run_hash = runs(texts, n, k)
-                some, size, hull = hulls(owner, new, run_hash)
-                use = anchor_bits.value.has(anchor[some])
-                if level == "run":
-                    use[use] = settled.value.has(with_doc(hull[use], ids[owner[some[use]]]))
-                some, size, key = some[use], size[use], hull[use]
-                if level == "run":
-                    some = np.repeat(some - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                    size, key = np.ones(len(some), np.int64), run_hash[some]
-                if wanted is not None:
-                    use = wanted.value.has(key)
-                    some, size, key = some[use], size[use], key[use]
-                marks = np.zeros(len(texts), np.int64)
-                for t in np.unique(owner[some]):
-                    marks[t] = row_mark(texts[t])
-                at = marks[owner[some]] << 32 | place[some]
-                for part in range(0, len(some), 1 << 17):
-                    s = slice(part, part + (1 << 17))
-                    columns = anchor[some[s]].view(np.int64), key[s].view(np.int64), ids[owner[some[s]]], at[s], size[s].astype(np.int32)
-                    yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["anchor", "key", "doc_id", "at", "size"])
-
-        return known.mapInArrow(run, "anchor bigint, key bigint, doc_id bigint, at bigint, size int")
-
-    def repeats(least: DataFrame):
-        return send(Bitmap.of(least.where("first < last"), "key", bits))
-
-    hull_docs = least_docs(keyed("hull"))
-    settled = send(Bitmap.of(hull_docs.select(with_doc_column(F.col("key"), F.col("first")).alias("h")), "h", bits))
-    run_docs = least_docs(keyed("run", settled))
-    found = later(keyed("hull", wanted=repeats(hull_docs)), hull_docs).union(later(keyed("run", settled, repeats(run_docs)), run_docs))
+    def doubt_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Hulls and runs of repeated keys that the bitmaps take for those of the least document."""
+        for batch in batches:
+            texts, f = found_in(batch)
+            first = f.first(hull_firsts.value)
+            at = f.single(first, several.value)
+            at = at[run_firsts.value.has(with_doc(f.run[at], f.ids[f.owner[at]]))]
+            start, key, size = np.append(f.start[first], at), np.append(f.key[first], f.run[at]), np.append(f.size[first], np.ones(len(at), np.int64))
+            use = wanted.value.has(key)
+            start, key, size = start[use], key[use], size[use]
+            marks = np.zeros(len(texts), np.int64)
+            for t in np.unique(f.owner[start]):
+                marks[t] = row_mark(texts[t])
+            yield from sent(("anchor", f.anchor[start]), ("key", key), ("doc_id", f.ids[f.owner[start]]), ("at", marks[f.owner[start]] << 32 | f.place[start]), ("size", size))
+
+    triple = "anchor bigint, key bigint, doc_id bigint"
+    repeated = known.mapInArrow(first_pass, "anchor bigint, lo bigint, hi bigint").groupBy("anchor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    anchors = bitmap(stored(repeated.where("lo < hi").select("anchor")), "anchor")
+    hull_docs = least_docs(known.mapInArrow(hull_pass, triple))
+    of_first = with_doc_column(F.col("key"), F.col("first"))
+    hull_firsts = bitmap(hull_docs, of_first)
+    keys = hull_docs.groupBy("anchor").agg(F.min("key").alias("a"), F.max("key").alias("b"))
+    several = bitmap(stored(keys.where("a < b").select("anchor")), "anchor")
+    run_docs = least_docs(known.mapInArrow(run_pass, triple))
+    run_firsts = bitmap(run_docs, of_first)
+    both = hull_docs.union(run_docs)
+    wanted = bitmap(both.where("first < last"), "key")
+    found = later(known.mapInArrow(doubt_pass, triple + ", at bigint, size bigint"), both)
     found = stored(found.groupBy("doc_id").agg(F.collect_list(F.struct("at", "size")).alias("at")))
-    doc_bits = send(Bitmap.of(found.select(with_doc_column(F.lit(0).cast("bigint"), F.col("doc_id")).alias("h")), "h", DOC_BITS))
+    pending = bitmap(found, with_doc_column(F.lit(0).cast("bigint"), F.col("doc_id")))
 
     def last_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column("doc_id"), texts_of(batch.column("text"))
+            valid = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+            gone: list[np.ndarray | None] = [None] * batch.num_rows
+            split: dict[int, list[bytes]] = {}
+            numbered = batch.filter(batch.column("doc_id").is_valid())
+            texts, f = found_in(numbered)
+            first = f.first(hull_firsts.value)
+            at = f.single(first, several.value)
+            at = at[~run_firsts.value.has(with_doc(f.run[at], f.ids[f.owner[at]]))]
+            start, size = np.append(f.start[~first], at), np.append(f.size[~first], np.ones(len(at), np.int64))
+            order = np.argsort(f.owner[start], kind="stable")
+            start, size = start[order], size[order]
+            owner, place = f.owner[start], f.place[start]
+            edge = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, int)
+            row = np.flatnonzero(valid)
+            for lo, hi in zip(edge, np.append(edge[1:], len(owner))):
+                words = texts[owner[lo]].split()
+                split[row[owner[lo]]], gone[row[owner[lo]]] = words, covering(len(words), place[lo:hi], size[lo:hi], n)
+            ids, whole = batch.column("doc_id"), texts_of(batch.column("text"))
             number = ids.fill_null(0).to_numpy(zero_copy_only=False)
-            some = doc_bits.value.has(with_doc(np.zeros(len(number), np.uint64), number)) & ids.is_valid().to_numpy(zero_copy_only=False)
-            done = [(None, None, None) if s else report(t.split(), None) for t, s in zip(texts, some)]
-            text = [t if s else None for t, s in zip(texts, some)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(text, pa.binary()), *columns_of(done)], ["doc_id", "text", "n_words", "n_removed", "kept_sha256"])
+            wait = pending.value.has(with_doc(np.zeros(len(number), np.uint64), number)) & valid
+            done = [(None, None, None) if w else report(split.pop(i, None) or t.split(), g) for i, (t, g, w) in enumerate(zip(whole, gone, wait))]
+            text = [t if w else None for t, w in zip(whole, wait)]
+            marked = [g.tobytes() if w and g is not None else None for g, w in zip(gone, wait)]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(text, pa.binary()), pa.array(marked, pa.binary()), *columns_of(done)], ["doc_id", "text", "gone", "n_words", "n_removed", "kept_sha256"])
+
+    result = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
+    rest = rows.mapInArrow(last_pass, "doc_id bigint, text binary, gone binary, n_words bigint, n_removed bigint, kept_sha256 string")
+    return rest.join(found, "doc_id", "left").mapInArrow(removal(n), result)
 
-    pending = rows.mapInArrow(last_pass, "doc_id bigint, text binary, n_words bigint, n_removed bigint, kept_sha256 string")
-    return pending.join(found, "doc_id", "left").mapInArrow(removal(n), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+
+def sent(*columns: tuple[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Batches of bounded size; values are taken as 64 bits."""
+    for part in range(0, len(columns[0][1]), 1 << 17):
+        yield pa.RecordBatch.from_arrays([pa.array(v[part : part + (1 << 17)].view(np.int64)) for _, v in columns], [c for c, _ in columns])
+
+
+def covering(n_words: int, place: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
+    """Which words the runs from place on cover: size runs of n words each, one word apart."""
+    edge = np.zeros(n_words + 1, np.int64)
+    np.add.at(edge, place, 1)
+    np.add.at(edge, place + size - 1 + n, -1)
+    return np.cumsum(edge[:-1]) > 0
 
 
 def columns_of(done: list[tuple]) -> list[pa.Array]:
@@ -333,22 +407,19 @@ def removal(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            texts, places = batch.column("text").to_pylist(), batch.column("at")
+            texts, marked, places = batch.column("text").to_pylist(), batch.column("gone").to_pylist(), batch.column("at")
             done = list(zip(*(batch.column(c).to_pylist() for c in ("n_words", "n_removed", "kept_sha256"))))
-            for i, (text, have) in enumerate(zip(texts, done)):
+            for i, (text, before, have) in enumerate(zip(texts, marked, done)):
                 if text is None:
                     out.append(have)
                     continue
                 words = text.split()
-                gone = None
+                gone = None if before is None else np.frombuffer(before, bool)
                 if places[i].is_valid:
                     at, size = (places[i].values.field(c).to_numpy(zero_copy_only=False) for c in ("at", "size"))
                     own = at >> 32 == row_mark(text)
-                    at, size = at[own] & 0xFFFFFFFF, size[own]
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + size - 1 + n, -1)
-                    gone = np.cumsum(edge[:-1]) > 0
+                    more = covering(len(words), at[own] & 0xFFFFFFFF, size[own], n)
+                    gone = more if gone is None else gone | more
                 out.append(report(words, gone))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns_of(out)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 

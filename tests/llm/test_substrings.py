@@ -49,7 +49,7 @@ def documents():
 def test_matches_brute_force(spark):
     rows = documents()
     docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, anchor string")
-    for bits in (26, 8):  # a full bitmap changes no result
+    for bits in (None, 8):  # a full bitmap changes no result
         got = substrings.deduplicate(docs, bits=bits).collect()
         assert order(tuple(r) for r in got) == order(brute(rows, 13))
 
@@ -89,6 +89,21 @@ def test_bitmap_agrees_with_spark(spark):
     rng = np.random.default_rng(0)
     ids, keys = rng.integers(-(2**40), 2**40, 500), rng.integers(-(2**63), 2**63 - 1, 500)
     df = spark.createDataFrame([(int(i), int(k)) for i, k in zip(ids, keys)], "id long, key long")
-    made = substrings.Bitmap.of(df.select(substrings.with_doc_column(df["key"], df["id"]).alias("h")), "h", 16)
+    made = substrings.Bitmap.of(df.select(substrings.with_doc_column(df["key"], df["id"]).alias("h")), "h", 500, 16)
     assert made.has(substrings.with_doc(keys.view(np.uint64), ids)).all()
     assert made.has(rng.integers(0, 2**63, 5000).astype(np.uint64) * np.uint64(2)).mean() < 0.02
+
+
+def test_bitmaps_let_no_larger_share_through_as_they_fill(spark):
+    rng = np.random.default_rng(1)
+    for n in (500, 20_000, 200_000):
+        keys = rng.integers(-(2**63), 2**63 - 1, n)
+        made = substrings.Bitmap.of(spark.createDataFrame(__import__("pandas").DataFrame({"k": keys})), "k", n)
+        assert made.has(keys.view(np.uint64)).all() and made.has(rng.integers(0, 2**64 - 1, 20_000, dtype=np.uint64)).mean() < 0.08
+
+
+def test_both_ways_of_making_a_bitmap_agree(spark, monkeypatch):
+    keys = spark.range(5000).selectExpr("xxhash64(id) AS k")
+    once = substrings.Bitmap.of(keys, "k", 5000)
+    monkeypatch.setattr(substrings, "MOST_PLACES", 10)
+    assert (substrings.Bitmap.of(keys, "k", 5000).words == once.words).all()
