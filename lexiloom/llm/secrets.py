@@ -2,13 +2,13 @@
 
 Base spans are those of three patterns, leftmost and non-overlapping for each. The method adds spans of
 further credential shapes, and decides on them by ownership: the hashes of all candidates are counted by
-distinct repositories and owners over the whole corpus. A value that `copied` or more owners hold is
-a widely copied example (documentation, test vectors); one that fewer hold is specific to its owners and looks
+distinct repositories and owners over the whole corpus. A value that `copied` or more owners hold, or that lies in `copied_repos`
+or more repositories, whoever owns them, is a widely copied example (documentation, test vectors); another is specific to its owners and looks
 live. Only live-looking added candidates become spans; base spans always stay.
 
 Regular expressions give no positions in Spark SQL, so a text is both cut at the matches and reduced to
-them; the running sums of the lengths are the positions, in code points. Only texts that contain a match
-pay for this. Nothing but candidates is shuffled: counts are combined on the map side, so a value that a
+them; the running sums of the lengths, in a window over each text's matches, are the positions, in code points. Only texts that contain a match
+pay for this, in proportion to their length. Nothing but candidates is shuffled: counts are combined on the map side, so a value that a
 third of all rows hold costs one row a task, and the join of candidates with counts may be split for skew.
 
 Nulls: a null text counts as empty; a null repository or owner is one more value of its own. Repeated ids
@@ -17,7 +17,7 @@ stay rows of their own. Extra columns of the input are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -39,38 +39,44 @@ ADDED = {
 ORDER = [*BASE, *ADDED]
 
 
-def spans_of(text: Column, kind: str) -> Column:
-    """array<struct<kind, start, stop, value>> of one kind, failing matches left out."""
-    pattern, least, before = (BASE | ADDED)[kind]
-    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    value = (lambda m: F.regexp_replace(m, before, "")) if before else (lambda m: m)
-
-    def step(acc: Column, k: Column) -> Column:
-        m = F.element_at(acc["found"], k)
-        start = acc["at"] + F.element_at(acc["gaps"], k)
-        span = F.struct(start.alias("start"), (start + F.length(m)).alias("stop"), m.alias("m"))
-        return F.struct((start + F.length(m)).alias("at"), acc["found"].alias("found"), acc["gaps"].alias("gaps"), F.array_append(acc["out"], span).alias("out"))
-
-    empty = F.array().cast("array<struct<start:int,stop:int,m:string>>")
-    begin = F.struct(F.lit(0).alias("at"), found.alias("found"), gaps.alias("gaps"), empty.alias("out"))
-    walked = F.aggregate(F.sequence(F.lit(1), F.size(found)), begin, step, lambda acc: acc["out"])
-    full = F.transform(walked, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), value(s["m"]).alias("value")))
-    none = F.array().cast("array<struct<kind:string,start:int,stop:int,value:string>>")
-    return F.when(text.rlike(pattern), F.filter(full, lambda s: F.length(s["value"]) >= least)).otherwise(none)
+def matches_of(text: Column, kind: str) -> Column:
+    """array<struct<place, gap, m>> of one kind: each match, and the code points between it and the one before."""
+    pattern = (BASE | ADDED)[kind][0]
+    found, between = F.regexp_extract_all(text, F.lit(f"({pattern})"), 1), F.split(text, pattern, -1)
+    pairs = F.zip_with(found, between, lambda m, g: F.struct(F.lit(ORDER.index(kind)).alias("place"), F.length(g).cast("bigint").alias("gap"), m.alias("m")))
+    none = F.array().cast("array<struct<place:int,gap:bigint,m:string>>")
+    return F.when(text.rlike(pattern), F.filter(pairs, lambda x: x["m"].isNotNull())).otherwise(none)
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str = "source") -> DataFrame:
-    """One row for each row of docs: _row, doc_id, repo, owner, found (array of all candidates)."""
+    """One row for each row of docs: _row, doc_id, repo, owner, found (array of all kinds' matches)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    found = F.concat(*[spans_of(text, kind) for kind in ORDER])
+    found = F.concat(*[matches_of(text, kind) for kind in ORDER])
     return docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("doc_id"), F.col(repo_col).alias("repo"), F.col(owner_col).alias("owner"), found.alias("found"))
 
 
-def ownership(found: DataFrame) -> DataFrame:
+def spans_of(found: DataFrame) -> DataFrame:
+    """One row for each match that counts: _row, repo, owner, start, place, kind, stop, hash. The positions are running sums of the
+    lengths, in one pass over a text's matches, so their number costs no more than its logarithm beyond proportion."""
+    flat = found.where(F.size("found") > 0).select("_row", "repo", "owner", F.posexplode("found").alias("at", "x"))
+    flat = flat.select("_row", "repo", "owner", "at", "x.*")
+    until = Window.partitionBy("_row", "place").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    flat = flat.withColumn("stop", F.sum(F.col("gap") + F.length("m")).over(until))
+    value, least = F.col("m"), F.lit(0)
+    for place, kind in enumerate(ORDER):
+        _, size, before = (BASE | ADDED)[kind]
+        here = F.col("place") == place
+        least = F.when(here, size).otherwise(least)
+        if before:
+            value = F.when(here, F.regexp_replace("m", before, "")).otherwise(value)
+    kinds = F.element_at(F.array(*map(F.lit, ORDER)), F.col("place") + 1)
+    flat = flat.withColumns({"value": value, "least": least}).where(F.length("value") >= F.col("least"))
+    return flat.select("_row", "repo", "owner", (F.col("stop") - F.length("m")).alias("start"), "place", kinds.alias("kind"), "stop", F.sha2("value", 256).alias("hash"))
+
+
+def ownership(spans: DataFrame) -> DataFrame:
     """hash, n_repos, n_owners: in how many repositories and with how many owners each candidate value occurs."""
-    rows = found.select(F.inline("found"), F.struct("repo").alias("repo"), F.struct("owner").alias("owner"))
-    rows = rows.select(F.sha2("value", 256).alias("hash"), "repo", "owner")
+    rows = spans.select("hash", F.struct("repo").alias("repo"), F.struct("owner").alias("owner"))
     # Distinct by hand: each level is combined on the map side.
     both = rows.groupBy("hash", "repo", "owner").agg(F.lit(1).alias("_1"))
     repos = both.groupBy("hash", "repo").agg(F.lit(0).alias("o")).select("hash", F.lit(1).alias("r"), "o")
@@ -83,16 +89,16 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str = "source", copied: int = 3) -> DataFrame:
-    """One row for each row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_copied, n_specific.
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str = "source", copied: int = 3, copied_repos: int = 12) -> DataFrame:
+    """One row for each row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_copied, n_specific, most_repos, most_owners.
 
-    n_copied and n_specific count the row's candidates of any kind whose value is a widely copied example, or not.
+    n_copied and n_specific count the row's candidates of any kind whose value is a widely copied example, or not;
+    most_repos and most_owners are the largest counts of repositories and owners among them.
     """
     found = cut(candidates(docs, id_col, text_col, repo_col, owner_col))
-    place = F.create_map(*[x for i, k in enumerate(ORDER) for x in (F.lit(k), F.lit(i))])
-    flat = found.where(F.size("found") > 0).select("_row", F.inline("found"))
-    flat = flat.select("_row", "start", place[F.col("kind")].alias("place"), "kind", "stop", F.sha2("value", 256).alias("hash"))
-    known = flat.join(ownership(found.where(F.size("found") > 0)), "hash", "left").withColumn("live", F.col("n_owners") < copied)
+    flat = cut(spans_of(found))
+    live = (F.col("n_owners") < copied) & (F.col("n_repos") < copied_repos)
+    known = flat.join(ownership(flat), "hash", "left").withColumn("live", live)
     span = F.struct("start", "place", "kind", "stop")
     base = F.col("place") < len(BASE)
     per_row = known.groupBy("_row").agg(
@@ -101,14 +107,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
         F.collect_list(F.when(base | F.col("live"), span)).alias("all"),
         F.count_if(~F.col("live")).alias("n_copied"),
         F.count_if("live").alias("n_specific"),
+        F.max("n_repos").alias("most_repos"),
+        F.max("n_owners").alias("most_owners"),
     )
     out = found.select("_row", "doc_id").join(per_row, "_row", "left")
-    zero = [F.coalesce(f"n_{k}", F.lit(0)).cast("bigint").alias(f"n_{k}") for k in (*BASE, "copied", "specific")]
+    numbers = [*(f"n_{k}" for k in (*BASE, "copied", "specific")), "most_repos", "most_owners"]
+    zero = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in numbers]
     text = [F.coalesce(joined(F.col(c)), F.lit("")) for c in ("base", "all")]
     return out.select("doc_id", *zero[:3], F.sha2(text[0], 256).alias("base_sha256"), text[1].alias("spans"), *zero[3:])
 
 
-def scan_sql(copied: int = 3) -> str:
+def scan_sql(copied: int = 3, copied_repos: int = 12) -> str:
     """scan() of documents in DuckDB SQL."""
     parts = ["d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents)"]
     for place, (kind, (pattern, least, before)) in enumerate((BASE | ADDED).items()):
@@ -118,12 +127,12 @@ def scan_sql(copied: int = 3) -> str:
         e_{kind} AS (SELECT r, source, unnest(ms) AS m, unnest(list_transform(range(1, len(ms) + 1), lambda i: coalesce(list_sum(gs[1:i]), 0) + coalesce(list_sum(list_transform(ms[1 : i - 1], lambda x: length(x))), 0))) AS a FROM m_{kind}),
         s_{kind} AS (SELECT r, source, {place} AS place, '{kind}' AS kind, a::BIGINT AS a, a::BIGINT + length(m) AS b, {value} AS v FROM e_{kind} WHERE length({value}) >= {least})""")
     parts.append("spans AS (" + " UNION ALL ".join(f"SELECT * FROM s_{k}" for k in ORDER) + ")")
-    parts.append(f"own AS (SELECT v, count(DISTINCT coalesce('+' || source, '')) < {copied} AS live FROM spans GROUP BY v)")
+    parts.append(f"own AS (SELECT v, count(DISTINCT coalesce('+' || source, '')) AS held, held < {copied} AND held < {copied_repos} AS live FROM spans GROUP BY v)")
     shown = "string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, place)"
     parts.append(
         "per AS (SELECT r, "
         + ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)
-        + f", {shown} FILTER (place < {len(BASE)}) AS base, {shown} FILTER (place < {len(BASE)} OR live) AS spans, count(*) FILTER (NOT live) AS n_copied, count(*) FILTER (live) AS n_specific FROM spans JOIN own USING (v) GROUP BY r)"
+        + f", {shown} FILTER (place < {len(BASE)}) AS base, {shown} FILTER (place < {len(BASE)} OR live) AS spans, count(*) FILTER (NOT live) AS n_copied, count(*) FILTER (live) AS n_specific, max(held) AS most_repos, max(held) AS most_owners FROM spans JOIN own USING (v) GROUP BY r)"
     )
-    numbers = ", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in (*BASE, "copied", "specific"))
+    numbers = ", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in (*BASE, "copied", "specific")) + ", coalesce(most_repos, 0) AS most_repos, coalesce(most_owners, 0) AS most_owners"
     return f"WITH {', '.join(parts)} SELECT doc_id, {numbers}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN per USING (r)"

@@ -50,3 +50,24 @@ def test_base_spans_match_brute_force(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string, found string")
     assert secrets.scan(docs).count() == 0
+
+
+def test_many_matches_in_one_text_take_time_in_proportion(spark):
+    import time
+
+    rng = __import__("random").Random(2)
+    text = " ".join(f"{rng.getrandbits(64):016x}" for _ in range(32_000))
+    frame = spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string")
+    began = time.time()
+    got = secrets.scan(frame).first()
+    assert time.time() - began < 60 and got.n_hex == 32_000
+    assert got.base_sha256 == hashlib.sha256(key(brute(text)).encode()).hexdigest()
+
+
+def test_repositories_count_beside_owners(spark):
+    rows = [(k, "sk-SHAREDSHAREDSHAREDSHARED", f"repo{k}", "one owner") for k in range(4)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, repo string, owner string")
+    few = secrets.scan(frame, repo_col="repo", owner_col="owner").collect()
+    assert all(r.spans and (r.most_repos, r.most_owners) == (4, 1) for r in few)
+    many = secrets.scan(frame, repo_col="repo", owner_col="owner", copied_repos=4).collect()
+    assert all(not r.spans and r.n_copied == 1 for r in many)
