@@ -1,15 +1,20 @@
 """PII surrogates: keyed replacements that keep type, format, script and gender, and stay distinct.
 
 Detected: e-mail addresses, telephone numbers, IPv4 addresses, payment cards, social security numbers, and person
-names after a courtesy title (Mr, Ms, Herr, Frau, M., Mme, Sr., Sra. ...; Latin or Cyrillic).
+names after a courtesy title (Mr, Ms, Herr, Frau, M., Mme, Sr., Sra. ...; Latin or Cyrillic). Further mentions of such a person in the same
+text, by the whole name or the family name alone, are found too.
 
 A surrogate is a function of the key and the entity alone, so the same entity gets the same surrogate in every row of
 the corpus (coreference), on every executor, without a shuffle of texts. Where the format leaves a number of fixed
 width, the function is a keyed Feistel permutation of that number, so different entities can't collide: telephone
-digits, addresses, cards (the check digit is made anew) and social security numbers. E-mail and person surrogates take
-a hashed tag or names from lists, where collisions are possible: `collisions` counts them over the whole corpus,
-and `settle` assigns attempt numbers to the few entities that would share a surrogate with another. That table
-is broadcast only below `most_exceptions` rows; beyond, the key is rejected, as its hashes are then broken.
+digits, addresses, cards (the check digit is made anew) and social security numbers. A person's surrogate is made of its names' surrogates, so
+"Mr. John Smith", "Dr. John Smith", "John Smith" and "Smith" agree. A given name's ending shows the person's gender: that of a gendered title, in this text
+or, after a title without gender, most often in the corpus, else that of the name itself. Surrogates of e-mail addresses, given and family names are hashes,
+which can collide: `collisions` counts them over the whole corpus, and `settle` assigns attempt numbers to the few names that would share a
+surrogate with another. There are 10 ** 18 tags, 2 * 10 ** 10 family and 2 * 10 ** 8 given names to be drawn, so `most_exceptions` isn't reached below 6 * 10 ** 7
+family names or 6 * 10 ** 6 given ones; beyond, settle refuses.
+
+The key is a secret of the caller's: who has it can link entities with surrogates. `session_key` reads it from the session, or draws one for it.
 
 Nulls: a null text stays null with no entities. Repeated ids stay rows of their own. All other columns are handed on as they are,
 but for those named as the two outputs (`n_entities`, `entity_kinds`), which are replaced.
@@ -19,11 +24,12 @@ from __future__ import annotations
 
 import hmac
 import re
+import secrets
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, small_batches
@@ -31,15 +37,21 @@ from .common import cut, small_batches
 TITLES = {"Mr": "m", "Mr.": "m", "Sir": "m", "Herr": "m", "Monsieur": "m", "M.": "m", "Señor": "m", "Sr.": "m", "Don": "m", "господин": "m", "Господин": "m", "Mrs": "f", "Mrs.": "f", "Ms": "f", "Ms.": "f", "Miss": "f", "Madam": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Señora": "f", "Sra.": "f", "Doña": "f", "госпожа": "f", "Госпожа": "f", "Dr.": "n", "Prof.": "n"}
 LATIN, CYRILLIC = "A-ZÀ-ÖØ-Þ", "А-ЯЁ"
 NAME = f"(?:[{LATIN}][a-zß-öø-ÿ'’-]{{1,30}}|[{CYRILLIC}][а-яё-]{{1,30}})"
+#: Session setting of the key; its name keeps it out of logs and pages that redact secrets.
+SECRET = "spark.lexiloom.surrogates.secret"
+#: Common given names of either gender; others are told by their endings where no title tells.
 GIVEN = {
-    ("m", "latin"): "Adam Alan Bruno Carl Daniel Edgar Felix Georg Hugo Ivan Jonas Karl Leo Martin Nils Oscar Paul Quentin Robert Simon Thomas Ulrich Victor Walter".split(),
-    ("f", "latin"): "Alice Anna Berta Clara Diana Elena Flora Greta Helen Irene Julia Karin Laura Maria Nora Olga Paula Rita Sara Tina Ursula Vera Wanda Yvonne".split(),
-    ("m", "cyrillic"): "Андрей Борис Виктор Глеб Денис Егор Иван Кирилл Лев Максим Никита Олег Павел Роман Сергей Тимур".split(),
-    ("f", "cyrillic"): "Анна Вера Галина Дарья Елена Жанна Ирина Кира Лидия Мария Нина Ольга Полина Раиса Софья Тамара".split(),
-}
+    "m": set("Adam Alan Albert Alexander Andreas Andrew Anthony Antonio Bruno Carl Carlos Charles Christian Daniel David Edgar Edward Emil Eric Felix Frank Georg George Hans Harry Henry Hugo Ivan Jack Jacques James Jean Jonas John Jose José Joseph Juan Karl Kevin Klaus Kurt Leo Louis Luis Luke Manuel Mark Martin Max Michael Miguel Nils Noah Oliver Oscar Otto Patrick Paul Pedro Peter Philip Pierre Quentin Ralph Richard Robert Samuel Simon Stefan Steven Thomas Tom Ulrich Victor Walter William Wolfgang Никита Илья Андрей Борис Виктор Глеб Денис Егор Иван Кирилл Лев Максим Олег Павел Роман Сергей Тимур".split()),
+    "f": set("Alice Ann Anne Astrid Beth Carmen Caroline Catherine Charlotte Chloe Claire Dolores Elisabeth Elizabeth Ellen Emily Esther Eve Grace Heike Helen Ingrid Irene Isabel Jane Jennifer Joan Judith Karen Karin Kate Kim Margaret Marie Mary Michelle Mercedes Nicole Pilar Rachel Renate Rosalind Ruth Sarah Sibylle Silke Sophie Susan Ute Yvonne Любовь".split()),
+}
 ONSETS = {"latin": "B C D F G H L M N P R S T V W Br Cl Dr Gr Kr Pr St Tr".split(), "cyrillic": "Б В Г Д З К Л М Н П Р С Т Ф Х Бр Гр Др Кр Пр Ст Тр".split()}
 MIDDLES = {"latin": "ad al an ar el en er il in ol on or un".split(), "cyrillic": "ад ал ан ар ел ен ер ил ин ол он ор ун".split()}
-ENDS = {("latin", "m"): "berg dorf er feld man ner ton ville well wood".split(), ("latin", "f"): "berg dorf er feld man ner ton ville well wood".split(), ("cyrillic", "m"): "ов ев ин ский".split(), ("cyrillic", "f"): "ова ева ина ская".split()}
+AFTER = {"latin": "dlmnrstv", "cyrillic": "длмнрств"}
+#: Endings by (script, gender): those of one place belong together.
+MAILBOXES = "adam alice bruno clara daniel elena felix greta hugo irene jonas julia karl laura martin nora oscar paula robert sara simon tina victor wanda".split()
+FAMILY_ENDS = {("latin", "m"): "berg dorf er feld man ner ton ville well wood".split(), ("cyrillic", "m"): "ов ев ин ский".split(), ("cyrillic", "f"): "ова ева ина ская".split()}
+FAMILY_ENDS["latin", "f"] = FAMILY_ENDS["latin", "m"]
+GIVEN_ENDS = {("latin", "m"): "o us ard en".split(), ("latin", "f"): "a ia elle ine".split(), ("cyrillic", "m"): "ий ан ор ей".split(), ("cyrillic", "f"): "ия ана ора ея".split()}
 
 #: Longer matches first where they start at one place. Every quantifier is bounded or anchored, so no text takes quadratic time.
 PATTERNS = {
@@ -51,6 +63,7 @@ PATTERNS = {
     "person": r"(?<!\w)(?:" + "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True)) + rf")[  ]{NAME}(?: {NAME}){{0,2}}(?!\w)",
 }
 DETECT = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in PATTERNS.items()))
+TITLES_BY_LENGTH = sorted(TITLES, key=len, reverse=True)
 #: Without one of these a text has no entity; the search is in C and most texts end here.
 HINT = re.compile(r"[0-9@]|(?:" + "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True)) + ")[  ]")
 
@@ -64,13 +77,67 @@ def luhn(digits: str) -> int:
     return -total % 10
 
 
+NAMES = re.compile(rf"(?<!\w){NAME}(?!\w)")
+OWNER = re.compile("['’]s$")
+
+
+def script_of(name: str) -> str:
+    return "cyrillic" if re.match(f"[{CYRILLIC}]", name) else "latin"
+
+
+def named(value: str) -> tuple[str, str, list[str]]:
+    """Title, the gap behind it, and the names of a titled mention."""
+    title = next((t for t in TITLES_BY_LENGTH if value.startswith((t + " ", t + "\u00a0"))), "")
+    return title, value[len(title) : len(title) + 1] if title else "", value[len(title) + bool(title) :].split(" ")
+
+
+def guessed(name: str) -> str:
+    """Gender of a given name by itself."""
+    for gender, names in GIVEN.items():
+        if name in names:
+            return gender
+    return "f" if name[-1:] in "aаяeé" else "m"
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the entities, leftmost first, without overlaps."""
-    return [(m.start(), m.end(), m.lastgroup) for m in DETECT.finditer(text)] if HINT.search(text) else []
+    if not HINT.search(text):
+        return []
+    out, families, given = [], set(), set()
+    for m in DETECT.finditer(text):
+        end = m.end()
+        if m.lastgroup == "person":
+            end -= 2 * bool(OWNER.search(m[0]))
+            *first, last = named(text[m.start() : end])[2]
+            families.add(last)
+            given.update(first)
+        out.append((m.start(), end, m.lastgroup))
+    return mentions(text, out, families, given) if families else out
+
+
+def mentions(text: str, found: list[tuple[int, int, str]], families: set[str], given: set[str]) -> list[tuple[int, int, str]]:
+    """found, and what else in the text is one of the family names, with the given names before it."""
+    out, k, start, end = [], 0, -1, -1  # start and end of the given names just before
+    for m in NAMES.finditer(text):
+        name = OWNER.sub("", m[0])
+        while k < len(found) and found[k][1] <= m.start():
+            k += 1
+        follows = start >= 0 and text[end : m.start()] == " "
+        if k < len(found) and found[k][0] < m.end():
+            start = -1
+        elif name in families:
+            out.append((start if follows else m.start(), m.start() + len(name), "person"))
+            start = -1
+        elif m[0] in given:
+            start, end = start if follows else m.start(), m.end()
+        else:
+            start = -1
+    return sorted([*found, *out])
 
 
 class Surrogates:
-    """Surrogates under one key. exceptions: (kind, normal form) -> attempt, for entities that would collide."""
+    """Surrogates under one key. exceptions: (kind, normal form) -> attempt, for entities that would collide, and
+    ("gender", name) -> 0 for male, 1 for female, for given names whose gender the corpus tells."""
 
     def __init__(self, key: bytes, exceptions: dict[tuple[str, str], int] | None = None, bits: int = 60):
         self.key, self.exceptions, self.bits = key, exceptions or {}, bits
@@ -99,20 +166,20 @@ class Surrogates:
         """What two mentions of one entity have in common."""
         if kind == "email":
             return value.lower()
-        if kind == "person":
-            return value.replace(" ", " ")
-        return value if kind == "ip" else re.sub(r"\D", "", value)
+        return re.sub(r"\D", "", value) if kind in ("phone", "card", "ssn") else value
 
-    def make(self, kind: str, value: str) -> str:
+    def make(self, kind: str, value: str, gender: str = "") -> str:
+        """gender: of a person whose mention doesn't tell it, where the text does elsewhere."""
+        if kind == "person":
+            return self.person(value, gender)
         plain = self.normal(kind, value)
         return getattr(self, kind)(value, plain, self.exceptions.get((kind, plain), 0))
 
     def email(self, value: str, plain: str, attempt: int) -> str:
         n = self.number("email", plain, attempt)
         local, _, domain = plain.partition("@")
-        names = GIVEN["f" if n & 1 else "m", "latin"]
         tag = n >> 8 & (1 << self.bits) - 1
-        word = names[(n >> 1 & 0x7F) % len(names)].lower()
+        word = MAILBOXES[(n >> 1 & 0x7F) % len(MAILBOXES)]
         letters = "".join("abcdefghijklmnopqrstuvwxyz234567"[tag >> 5 * k & 31] for k in range(12))
         dot = "." if "." in local else ""
         made = f"{word}{dot}{letters}@example.{'org' if domain.endswith('.org') else 'net' if domain.endswith('.net') else 'com'}"
@@ -144,37 +211,90 @@ class Surrogates:
         n = self.permute(f"ip{keep}{parts[0] if keep else ''}", int.from_bytes(bytes(parts[keep:]), "big"), 1 << width)
         return ".".join(map(str, [*parts[:keep], *n.to_bytes(4 - keep, "big")]))
 
-    def person(self, value: str, plain: str, attempt: int) -> str:
-        title = next(t for t in sorted(TITLES, key=len, reverse=True) if value.startswith((t + " ", t + " ")))
-        gap, names = value[len(title)], value[len(title) + 1 :].split(" ")
-        script = "cyrillic" if re.search(f"[{CYRILLIC}]", names[0]) else "latin"
-        # Titles of one gender name the same person, and so do further mentions by family name alone.
-        gender = TITLES[title]
-        family = self.number(f"family/{script}", names[-1], attempt)
-        shown = gender if gender != "n" else "fm"[family & 1]
-        n, last = family >> 1, ""
-        last += ONSETS[script][n % len(ONSETS[script])]
-        n //= len(ONSETS[script])
-        for _ in range(3):
-            last += MIDDLES[script][n % 13] + "dlmnrstv"[n // 13 % 8] if script == "latin" else MIDDLES[script][n % 13] + "длмнрств"[n // 13 % 8]
+    def stem(self, kind: str, name: str) -> tuple[str, int]:
+        """The beginning of a name's surrogate, and the number that its ending is taken from."""
+        script = script_of(name)
+        n = self.number(kind, name, self.exceptions.get((kind, name), 0))
+        out, n = ONSETS[script][n % len(ONSETS[script])], n // len(ONSETS[script])
+        for k in range(4 if kind == "family" else 3):
+            out += MIDDLES[script][n % 13]
+            if kind == "family" or k < 2:
+                out += AFTER[script][n // 13 % 8]
             n //= 104
-        ends = ENDS[script, shown]
-        last += ends[n % len(ends)]
-        given = [GIVEN[shown, script][self.number(f"given/{shown}/{script}", g) % len(GIVEN[shown, script])] for g in names[:-1]]
-        return title + gap + " ".join([*given, last])
+        return out, n
+
+    def family(self, name: str) -> str:
+        # Cyrillic family names show gender themselves; whatever title stands before them, one name has one surrogate.
+        out, n = self.stem("family", name)
+        ends = FAMILY_ENDS[script_of(name), "f" if name[-1] in "ая" else "m"]
+        return out + ends[n % len(ends)]
+
+    def given(self, name: str, gender: str) -> str:
+        if not gender:
+            known = self.exceptions.get(("gender", name))
+            gender = guessed(name) if known is None else "mf"[known]
+        out, n = self.stem("given", name)
+        ends = GIVEN_ENDS[script_of(name), gender]
+        return out + ends[n % len(ends)]
+
+    def person(self, value: str, gender: str = "") -> str:
+        title, gap, names = named(value)
+        gender = TITLES.get(title, "n").replace("n", "") or gender
+        return title + gap + " ".join([*(self.given(g, gender) for g in names[:-1]), self.family(names[-1])])
+
+    def replace(self, text: str) -> tuple[str, list[str]]:
+        """The text with surrogates, and the kinds of its entities in order."""
+        spans = find(text)
+        if not spans:
+            return text, []
+        genders: dict[str, str] = {}
+        for a, b, kind in spans:
+            if kind == "person":
+                title, _, names = named(text[a:b])
+                if len(names) > 1 and TITLES.get(title, "n") != "n":
+                    genders.setdefault(" ".join(names), TITLES[title])
+        out, at = [], 0
+        for a, b, kind in spans:
+            value = text[a:b]
+            gender = genders.get(" ".join(named(value)[2]), "") if kind == "person" and genders else ""
+            out += [text[at:a], self.remembered(kind, value, gender)]
+            at = b
+        return "".join([*out, text[at:]]), [kind for _, _, kind in spans]
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The session's secret; where none is set, one is drawn and kept for the session, so that all its jobs agree."""
+    have = spark.conf.get(SECRET, None)
+    if not have:
+        have = secrets.token_hex(32)
+        spark.conf.set(SECRET, have)
+    return have.encode()
 
 
 def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """kind, plain, value: the distinct e-mail addresses and names, whose surrogates come from hashes."""
+    """kind, plain, m, f, n: the distinct e-mail addresses, family names and given names, whose surrogates come from hashes, and for given names how
+    often titles of either gender, or of none, precede them."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        normal = Surrogates(b"").normal
         for batch in batches:
-            rows = {(k, normal(k, t[a:b])) for t in batch.column(0).to_pylist() for a, b, k in find(t or "") if k in ("email", "person")}
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows) if rows else ([], []))], ["kind", "plain"])
-
-    return docs.select(text_col).where(F.col(text_col).rlike(r"@|[A-Za-zа-яА-Яñ]\.?[  ]\p{Lu}")).mapInArrow(run, "kind string, plain string").distinct()
+            seen: dict[tuple[str, str], list[int]] = {}
+            for text in batch.column(0).to_pylist():
+                for a, b, kind in find(text or ""):
+                    if kind == "email":
+                        seen.setdefault((kind, text[a:b].lower()), [0, 0, 0])
+                    elif kind == "person":
+                        title, _, (*given, last) = named(text[a:b])
+                        seen.setdefault(("family", last), [0, 0, 0])
+                        for g in given:
+                            seen.setdefault(("given", g), [0, 0, 0])["mfn".index(TITLES.get(title, "n"))] += 1
+            rows = [(*k, *n) for k, n in seen.items()]
+            columns = list(zip(*rows)) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i < 2 else pa.int64()) for i, c in enumerate(columns)], ["kind", "plain", "m", "f", "n"])
+
+    some = docs.select(text_col).where(F.col(text_col).rlike(r"@|[A-Za-zа-яА-Яñ]\.?[ \u00a0]\p{Lu}"))
+    found = some.mapInArrow(run, "kind string, plain string, m bigint, f bigint, n bigint")
+    return found.groupBy("kind", "plain").agg(*[F.sum(c).alias(c) for c in "mfn"])
 
 
 def collisions(found: DataFrame, key: bytes, exceptions: dict[tuple[str, str], int], bits: int = 60) -> DataFrame:
@@ -184,29 +304,35 @@ def collisions(found: DataFrame, key: bytes, exceptions: dict[tuple[str, str], i
         maker = Surrogates(key, exceptions, bits)
         for batch in batches:
             kinds, plains = batch.column("kind").to_pylist(), batch.column("plain").to_pylist()
-            made = [maker.make(k, p) for k, p in zip(kinds, plains)]
+            made = [maker.make(k, p) if k == "email" else maker.stem(k, p)[0] for k, p in zip(kinds, plains)]
             yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("plain"), pa.array(made, pa.string())], ["kind", "plain", "made"])
 
-    made = found.mapInArrow(run, "kind string, plain string, made string")
+    made = found.select("kind", "plain").mapInArrow(run, "kind string, plain string, made string")
     shared = made.groupBy("kind", "made").agg(F.count("*").alias("n"), F.min("plain").alias("first")).where("n > 1")
     return made.join(shared, ["kind", "made"]).where("plain > first").select("kind", "plain")
 
 
-def settle(docs: DataFrame, key: bytes, text_col: str = "text", most_exceptions: int = 100_000, rounds: int = 8, bits: int = 60) -> dict[tuple[str, str], int]:
-    """Attempt numbers of the entities that would collide, so that all surrogates of the corpus are distinct."""
+def settle(docs: DataFrame, key: bytes, text_col: str = "text", most_exceptions: int = 1_000_000, rounds: int = 8, bits: int = 60) -> dict[tuple[str, str], int]:
+    """Attempt numbers of the entities that would collide, so that all surrogates of the corpus are distinct, and the genders that titles show."""
     found = cut(entities(docs, text_col))
-    exceptions: dict[tuple[str, str], int] = {}
+    shown = found.where("kind = 'given' AND n > 0 AND m != f").select("plain", (F.col("f") > F.col("m")).cast("int").alias("g"))
+
+    def bounded(rows: DataFrame) -> list:
+        got = rows.limit(most_exceptions + 1).collect()
+        if len(got) > most_exceptions:
+            raise ValueError("more exceptions than a broadcast may hold")
+        return got
+
+    exceptions: dict[tuple[str, str], int] = {("gender", r.plain): r.g for r in bounded(shown)}
     for attempt in range(1, rounds + 1):
-        rows = collisions(found, key, exceptions, bits).limit(most_exceptions + 1).collect()
+        rows = bounded(collisions(found, key, exceptions, bits))
         if not rows:
             return exceptions
-        if len(rows) > most_exceptions:
-            raise ValueError("too many surrogates collide; take another key")
         exceptions |= {(r.kind, r.plain): attempt for r in rows}
     raise ValueError("surrogates still collide; take another key")
 
 
-def replace(docs: DataFrame, key: bytes = b"lexiloom", text_col: str = "text", exceptions: dict[tuple[str, str], int] | None = None, check: bool = True) -> DataFrame:
+def replace(docs: DataFrame, key: bytes, text_col: str = "text", exceptions: dict[tuple[str, str], int] | None = None, check: bool = True) -> DataFrame:
     """docs with surrogates in the text, and n_entities and entity_kinds (kinds in order, comma-joined) added."""
     spark = docs.sparkSession
     if exceptions is None:
@@ -217,23 +343,13 @@ def replace(docs: DataFrame, key: bytes = b"lexiloom", text_col: str = "text", e
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Surrogates(key, shared.value).remembered
+        maker = Surrogates(key, shared.value)
         for batch in batches:
-            texts, counts, kinds = [], [], []
-            for text in batch.column(place).to_pylist():
-                spans = find(text) if text else []
-                if spans:
-                    out, at = [], 0
-                    for a, b, kind in spans:
-                        out += [text[at:a], make(kind, text[a:b])]
-                        at = b
-                    text = "".join([*out, text[at:]])
-                texts.append(text)
-                counts.append(len(spans))
-                kinds.append(",".join(k for _, _, k in spans))
+            done = [(None, []) if text is None else maker.replace(text) for text in batch.column(place).to_pylist()]
             columns = batch.columns
-            columns[place] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(kinds, pa.string())], [*batch.schema.names, "n_entities", "entity_kinds"])
+            columns[place] = pa.array([t for t, _ in done], pa.string())
+            counts, kinds = pa.array([len(k) for _, k in done], pa.int64()), pa.array([",".join(k) for _, k in done], pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, counts, kinds], [*batch.schema.names, "n_entities", "entity_kinds"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(run, schema + ", n_entities bigint, entity_kinds string")

@@ -33,7 +33,7 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = pii.replace(table(spark, sf_dir, "documents"))
+    docs = pii.replace(table(spark, sf_dir, "documents"), pii.session_key(spark))
     return docs.select("doc_id", "text", "n_entities", "entity_kinds")
 
 
