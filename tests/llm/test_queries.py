@@ -140,9 +140,10 @@ def test_mixing_edges(spark):
     rows = [(1, "a b c", "en", "s1"), (2, "d | e", "en", None), (None, "f g", None, "s1"), (4, None, "fr", "s2"), (5, "", "fr", "s2"), (1, "a b c", "en", "s1")]
     frame = spark.createDataFrame([(*r, 7.0) for r in rows], "doc_id long, text string, lang string, source string, p double")
     got = mixing.mix(frame).collect()
-    assert len(got) == 6 and all((r.p == 0) == (r.n_tokens == 0 or r.doc_id is None) for r in got)
-    out = mixing.sample(frame, rate=100.0)
-    assert out.columns == frame.columns and sorted(r.doc_id for r in out.collect()) == [1, 1, 2] and out.first().p == 7.0
+    assert len(got) == 6 and all((r.p == 0) == (r.n_tokens == 0) for r in got)
+    out = mixing.repeated(frame, rate=100.0)
+    assert out.columns == frame.columns and {r.doc_id for r in out.collect()} == {1, 2, None} and out.first().p == 7.0
+    assert mixing.sample(frame).columns == frame.columns
     assert mixing.mix(frame.limit(0)).count() == 0
 
 
@@ -164,8 +165,8 @@ def test_repeated_rows_meet_the_margins(spark):
             rows.append((d := d + 1, "one two three" if d % 10 else "see | this", lang, source))
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     want = {"source": {"a": 1.0, "b": 1.0}, "lang": {"x": 1.0, "y": 1.0}, "topic": {"table": 1.0, "prose": 1.0}}
-    odds = mixing.probabilities(frame, want, rounds=40).collect()
-    assert max(r.ratio for r in odds) > 1 and all(r.kept == (r.times > 0) and abs(r.times - r.ratio) < 1 for r in odds)
+    odds = mixing.copies(frame, want, rounds=40).collect()
+    assert max(r.ratio for r in odds) > 1 and all(abs(r.times - r.ratio) < 1 for r in odds)
     whole, asked = sum(r.n_tokens for r in odds), sum(r.ratio * r.n_tokens for r in odds)
     assert abs(asked - 0.5 * whole) < 1e-6 * whole
     for m, shares in want.items():
@@ -179,7 +180,31 @@ def test_repeated_rows_meet_the_margins(spark):
         for m, v in (("source", r.source), ("lang", r.lang), ("topic", "table" if "|" in r.text else "prose")):
             by[m, v] = by.get((m, v), 0) + len(r.text.split())
     assert all(abs(by[m, v] / (sum(n for (o, _), n in by.items() if o == m)) - 0.5) < 0.03 for m, v in by)
-    assert corpus_pipeline.mix(spark, frame, SF).count() == sum(r.times for r in mixing.probabilities(frame).collect()) > mixing.sample(frame).count()
+
+
+def test_the_sample_meets_its_targets(spark):
+    """Expected and drawn shares of the sample itself, with the tables' default targets, by a plain computation; and no document twice."""
+    for sf in ("sf0.001", "sf0.01"):
+        rows = mixing.mix(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")).collect()
+        whole, asked = sum(r.n_tokens for r in rows), sum(r.p * r.n_tokens for r in rows)
+        assert all(0 <= r.p <= 1 for r in rows) and asked > 0.05 * whole
+        for m in mixing.MARGINS:
+            sums = {}
+            for r in rows:
+                sums[r[m]] = sums.get(r[m], 0) + r.n_tokens
+            norm = sum(v**0.5 for v in sums.values())
+            for value, n in sums.items():
+                expected = sum(r.p * r.n_tokens for r in rows if r[m] == value) / asked
+                assert abs(expected - n**0.5 / norm) < 0.01
+    frame = spark.createDataFrame([(d, "a b c" if d % 9 else "x | y", "en", "s1" if d % 50 else "s2") for d in range(5000)], "doc_id long, text string, lang string, source string")
+    want = {"source": {"s1": 3.0, "s2": 1.0}, "topic": {"prose": 1.0, "table": 1.0}}
+    got = mixing.sample(frame, targets=want).collect()
+    assert len({r.doc_id for r in got}) == len(got)
+    report = mixing.margins(mixing.calibrated(mixing.cells(mixing.measured(frame)), want)).collect()
+    assert {(r.margin, r.value) for r in report} == {("source", "s1"), ("source", "s2"), ("lang", "en"), ("topic", "prose"), ("topic", "table")} and max(abs(r.residual) for r in report) <= 0.002
+    # A target that no document can meet takes the rate down to nothing that fits; weights stay within the cells.
+    none = mixing.calibrated(mixing.cells(mixing.measured(frame)), {"source": {"elsewhere": 1.0}}).collect()
+    assert all(r.weight == 0 for r in none)
 
 
 def test_pipeline_against_brute_force(spark):
@@ -202,12 +227,9 @@ def test_pipeline_against_brute_force(spark):
             want = {d for d, r in before.items() if not any(x in b" ".join(decontamination.words_of(decontamination.prepared(r.text))) for x in runs)}
         elif name.startswith("PII"):
             want = set(before)
-            maker = pii.Surrogates(b"lexiloom")
+            maker = pii.Surrogates(pii.session_key(spark), pii.settle(kept, pii.session_key(spark)))
             for d, r in before.items():
-                spans = pii.find(r.text)
-                text = r.text
-                for a, b, kind in reversed(spans):
-                    text = text[:a] + maker.make(kind, text[a:b]) + text[b:]
+                text = maker.replace(r.text)[0]
                 assert out[d].text == text and out[d].n_chars == len(text)
         else:
             want = {r.doc_id for r in mixing.mix(kept).collect() if r.kept}
