@@ -33,15 +33,15 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their personal data replaced."""
-    out = pii.replace(docs)
+    out = pii.replace(docs, pii.session_key(spark))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the raked weights sample, in as many copies as the weights ask."""
-    return mixing.repeated(docs)
+    """The documents that the raked weights sample."""
+    return mixing.sample(docs)
 
 
 STAGES = [
