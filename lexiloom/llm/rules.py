@@ -175,16 +175,18 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, penalty:
 
 
 def sampled(docs: DataFrame, labels: DataFrame, label_col: str, sample: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """At most `sample` labelled documents that aren't held out: id, text, y. The ids are broadcast: sample bounds them."""
+    """At most `sample` labelled documents that aren't held out: id, text, y. The ids are broadcast: sample bounds them. Of rows with one
+    id the one with the least text stands for all, so that sample bounds the rows too."""
     usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     first = usable.groupBy(id_col).agg(F.max(label_col).cast("double").alias("_y")).orderBy(F.xxhash64(id_col), id_col).limit(sample)
-    return docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias(text_col)).join(F.broadcast(first), id_col)
+    rows = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias(text_col)).join(F.broadcast(first), id_col)
+    return rows.groupBy(id_col).agg(F.min(text_col).alias(text_col), F.first("_y").alias("_y"))
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = 12_000, id_col: str = "doc_id", text_col: str = "text") -> Ensemble:
     rows = sampled(docs, labels, label_col, sample, id_col, text_col)
     stats = statistics(F.col(text_col))
-    got = rows.select(id_col, *[c.alias(n) for n, c in stats.items()], "_y").orderBy(id_col, *stats).limit(2 * sample).toPandas()
+    got = rows.select(id_col, *[c.alias(n) for n, c in stats.items()], "_y").orderBy(id_col).toPandas()
     return fit(got[list(stats)].to_numpy(float), got["_y"].to_numpy(float))
 
 

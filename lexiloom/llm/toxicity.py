@@ -2,9 +2,10 @@
 
 Input of a word: a vector of its own, where the training sample holds it in `LEAST` documents or more, plus the means of
 the hashed vectors of its character trigrams and of its beginnings. Two gated recurrent chains read a window of words from either side; attention
-weighs their states; a logistic unit scores the window. All overlapping windows of the whole text are scored and the
-highest counts. Training (numpy, on the driver) sees whole texts too: the windows of a document are pooled by their
-softmax, so that a document's label is explained by its worst windows.
+weighs their states; a logistic unit scores the window. Overlapping windows of the whole text, one every `STRIDE` words, are scored and the
+highest counts; every passage of up to WINDOW - STRIDE + 1 words lies whole in one of them. Training (numpy, on the driver) sees whole texts too: the windows of a document are pooled by their
+softmax, so that a document's label is explained by its worst windows. Words begin with what the sample says of them (`evidence`), and the
+hashed inputs learn the more slowly the fewer documents there are: a few hundred labels can't teach thousands of buckets.
 
 Scoring runs in Arrow batches. The input side of the gates is linear in the word, so it is computed once for each
 distinct word and kept in a table of bounded size; the recurrence then runs over thousands of windows at once.
@@ -26,7 +27,9 @@ from .common import held_out, small_batches
 from .rules import sampled
 
 WINDOW, STRIDE, HIDDEN, WIDTH = 24, 12, 8, 12
-BUCKETS, WORDS, LEAST = 1 << 13, 4000, 6
+BUCKETS, WORDS, LEAST = 1 << 13, 4000, 4
+#: Documents from which on the hashed inputs learn at the full rate.
+ENOUGH = 3000
 #: Lengths in bytes of the beginnings of words that are inputs.
 HEADS = (4, 5, 6, 7)
 STRIP = b".,;:!?|*$%&#\"'()[]-"
@@ -48,9 +51,9 @@ def characters(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of all words' trigrams in a row, how many each word has (its length, at least one), and
     buckets (words, len(HEADS)) of their beginnings."""
     lengths = np.array([len(w) for w in words], np.int64)
-    flat = np.frombuffer(b"".join(b"\x02" + w + b"\x03" for w in words), np.uint8).astype(np.uint64)
+    flat = np.frombuffer(b"".join(b"\x02" + w + b"\x03\x00" for w in words), np.uint8).astype(np.uint64)
     mixed = flat[:-2] * np.uint64(0x9E3779B1) + flat[1:-1] * np.uint64(0x85EBCA6B) + flat[2:] * np.uint64(0xC2B2AE35)
-    starts = np.concatenate([[0], np.cumsum(lengths + 2)[:-1]])
+    starts = np.concatenate([[0], np.cumsum(lengths + 3)[:-1]])
     counts = np.maximum(lengths, 1)
     within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     at = np.minimum(np.repeat(starts, counts) + within, len(mixed) - 1)
@@ -172,7 +175,21 @@ def layout(docs: list[np.ndarray], stride: int = STRIDE) -> tuple[np.ndarray, np
     return np.where(live, place, 0), live.astype(np.float32), np.concatenate(owners)
 
 
-def fit(texts: list[str], y: np.ndarray, steps: int = 220, rate: float = 0.02, decay: float = 2e-3, batch: int = 32) -> Network | float:
+def evidence(common: list[bytes], seen: dict[bytes, int], split: list[list[bytes]], y: np.ndarray) -> np.ndarray:
+    """For each common word, how far its log odds ratio lies beyond two standard errors, up to four more; with its sign."""
+    n_pos, n_neg = float((y == 1).sum()), float((y == 0).sum())
+    held: dict[bytes, int] = {}
+    for words, t in zip(split, y):
+        for w in set(words) if t == 1 else ():
+            held[w] = held.get(w, 0) + 1
+    a = np.array([held.get(w, 0) for w in common], np.float64)
+    b = np.array([seen[w] for w in common], np.float64) - a
+    four = [a + 0.5, b + 0.5, n_pos - a + 0.5, n_neg - b + 0.5]
+    z = (np.log(four[0] / four[2]) - np.log(four[1] / four[3])) / np.sqrt(sum(1 / x for x in four))
+    return (np.clip(np.abs(z) - 2, 0, 4) * np.sign(z)).astype(np.float32)
+
+
+def fit(texts: list[str], y: np.ndarray, steps: int | None = None, rate: float = 0.02, decay: float = 2e-3, batch: int = 32) -> Network | float:
     """A network, or the smoothed share of the class where only one occurs."""
     if not len(y) or y.min() == y.max():
         return float((y.sum() + 0.5) / (len(y) + 1))
@@ -183,6 +200,13 @@ def fit(texts: list[str], y: np.ndarray, steps: int = 220, rate: float = 0.02, d
             seen[w] = seen.get(w, 0) + 1
     common = sorted((w for w in seen if seen[w] >= LEAST), key=lambda w: (-seen[w], w))[:WORDS]
     net, rng = Network({w: k + 1 for k, w in enumerate(common)}), np.random.default_rng(11)
+    enough = min(1.0, len(y) / ENOUGH)
+    steps = steps or min(160, max(80, 8 * len(y) // batch))  # eight times through the sample, within bounds
+    net.p["word"] *= 0.1
+    net.p["word"][1:, 0] += 0.6 * evidence(common, seen, split, y)
+    for name in ("char", "head"):
+        net.p[name] *= 0.1 + 0.2 * np.float32(enough)
+    slower = dict.fromkeys(("word", "char", "head"), max(0.1, enough))
     moment = {k: np.zeros_like(v) for k, v in net.p.items()}
     square = {k: np.zeros_like(v) for k, v in net.p.items()}
     pos, neg = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
@@ -228,7 +252,7 @@ def fit(texts: list[str], y: np.ndarray, steps: int = 220, rate: float = 0.02, d
             g = g * min(1, 5 / (norm + 1e-9))
             moment[name] = 0.9 * moment[name] + 0.1 * g
             square[name] = 0.99 * square[name] + 0.01 * g * g
-            now = rate * (1 - (step - 1) / steps)
+            now = rate * (1 - (step - 1) / steps) * slower.get(name, 1.0)
             net.p[name] = (net.p[name] * (1 - now * decay * (name in ("word", "char", "head"))) - now * (moment[name] / (1 - 0.9**step)) / (np.sqrt(square[name] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
     net.p["bias"] = net.p["bias"] - np.float32(np.log(max(1.0, len(neg) / len(pos))) * 0.5)
     return net
@@ -281,7 +305,7 @@ class Scorer:
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: int = 6000) -> Network | float:
     """Fits on at most `sample` labelled documents that aren't held out: all classes by hash of the id."""
-    got = sampled(docs, labels, label_col, sample).orderBy("doc_id", "text").limit(2 * sample).toPandas()
+    got = sampled(docs, labels, label_col, sample).orderBy("doc_id", "text").toPandas()
     return fit(list(got["text"]), got["_y"].to_numpy(np.float32))
 
 
