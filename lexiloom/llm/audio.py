@@ -11,7 +11,8 @@ bits at the offset, only break ties. Rows with one fingerprint are one class: a
 a table of their own, so copies aren't expanded into pairs.
 
 The test tables hold no recordings. `rendered` makes them from a vector: its numbers are the notes of a melody,
-so equal vectors sound equal and similar vectors sound similar. It stands for the decoder of a media column.
+so equal vectors sound equal and similar vectors sound similar. It stands for the decoder of a media column. `with_retakes` adds to
+such a table other recordings of some rows' melodies: cut at either end, beside the grid of frames, softer, and noisy.
 
 Nulls: null or too short samples have an empty fingerprint, and empty fingerprints match nothing; not-a-number samples count
 as silence; rows with a null id are no queries but are searched. Repeated ids stay rows of their own. Extra columns are ignored.
@@ -107,6 +108,26 @@ def rendered(vector: np.ndarray | None, note_seconds: float = 0.08) -> np.ndarra
     return (loud * (np.sin(2 * np.pi * pitch * t) + 0.4 * np.sin(4 * np.pi * pitch * t))).ravel().astype(np.float32)
 
 
+def with_retakes(rows: DataFrame, id_col: str, media_col: str, every: int = 25) -> DataFrame:
+    """id, media: all rows, and a retake of each row whose id is divisible by `every`, under the id -1 - id; for `retaken` to decode."""
+    plain = rows.select(F.col(id_col).cast("bigint").alias(id_col), F.col(media_col).cast("array<double>").alias(media_col))
+    again = plain.where(F.col(id_col) % every == 0).select((F.lit(-1) - F.col(id_col)).alias(id_col), F.concat(media_col, F.array((F.col(id_col) % 1000 + 1).cast("double"))).alias(media_col))
+    return plain.select(id_col, F.concat(media_col, F.array(F.lit(0.0))).alias(media_col)).unionByName(again)
+
+
+def retaken(vector: np.ndarray | None) -> np.ndarray | None:
+    """The melody of all numbers but the last; where that isn't 0 it seeds the retake's cuts and noise."""
+    if vector is None or not len(vector):
+        return None
+    melody, seed = rendered(vector[:-1]), int(np.nan_to_num(vector[-1]))
+    if melody is None or not seed:
+        return melody
+    rng = np.random.default_rng(seed)
+    begin, end = rng.integers(HOP // 4, len(melody) // 8 + HOP), len(melody) - rng.integers(0, len(melody) // 8 + 1)
+    part = melody[begin:end]
+    return (rng.uniform(0.4, 1.0) * part + rng.standard_normal(len(part)) * rng.uniform(0.01, 0.08)).astype(np.float32)
+
+
 def fingerprints(rows: DataFrame, id_col: str, media_col: str, decode: Callable[[np.ndarray | None], np.ndarray | None] = lambda x: x, rate: int = RATE) -> DataFrame:
     """id, frames (array of packed integers as bigint), one row for each row. decode turns a cell into samples at `rate`."""
     small_batches(rows.sparkSession)

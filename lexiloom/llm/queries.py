@@ -42,8 +42,8 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No table holds recordings; each row of embeddings is rendered as one."""
-    return audio.neighbours(table(spark, sf_dir, "embeddings"))
+    """No table holds recordings; each row of embeddings is rendered as one, and some rows' melodies are recorded again (negative ids)."""
+    return audio.neighbours(audio.with_retakes(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), decode=audio.retaken)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,3 +77,22 @@ def test_neighbours(spark):
     assert got[101].query_id == 3 and got[101].offset == 0 and got[101].bit_errors < 0.1
     assert got[200].frames == 0 and got[200].n_queries == 0
     assert audio.neighbours(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+
+
+def test_the_query_finds_its_retakes(spark):
+    """Every retake of a query's melody, against brute force over all offsets."""
+    from lexiloom.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    got = {r.vec_id: r for r in queries.op8_audio_fingerprints(spark, sf).collect()}
+    rows = audio.with_retakes(spark.read.parquet(f"{sf}/embeddings.parquet"), "vec_id", "embedding").collect()
+    assert len(got) == len(rows) and any(r.vec_id < 0 for r in rows)
+    prints = {r.vec_id: audio.fingerprint(audio.retaken(np.array(r.embedding))) for r in rows}
+    want = found = 0
+    for q in [i for i in prints if i >= 0 and i % 50 == 0]:
+        other, mine = prints[-1 - q], prints[q]
+        best = min((e for e in (audio.errors(mine, other, o) for o in range(-len(mine), len(other))) if e[1] >= 32), default=(1.0, 0))
+        if best[0] <= 0.15:
+            want += 1
+            found += got[-1 - q].n_queries >= 1 and abs(got[-1 - q].bit_errors - best[0]) < 1e-9
+    assert want >= 5 and found >= 0.9 * want
