@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import settled, small
+
+#: Documents that a range of ids holds on average.
+RANGE = 1 << 16
+
 
 def breakdown(docs: DataFrame) -> DataFrame:
     """label, n by label, and the row Total."""
@@ -17,24 +22,39 @@ def class_sizes(docs: DataFrame) -> DataFrame:
 
 def drop_small(docs: DataFrame, least: int) -> DataFrame:
     """Documents of the classes with `least` documents or more."""
-    return docs.join(F.broadcast(class_sizes(docs).where(F.col("class_size") >= least).select("label")), "label", "left_semi")
+    return docs.join(small(class_sizes(docs).where(F.col("class_size") >= least).select("label")), "label", "left_semi")
 
 
 def dropped_labels(docs: DataFrame, least: int) -> DataFrame:
-    return docs.select("label").distinct().exceptAll(drop_small(docs, least).select("label").distinct())
-
-
-def with_place(docs: DataFrame, order: str = "doc_id") -> DataFrame:
-    """docs with place (1-based inside the label) and class_size."""
-    place = F.row_number().over(Window.partitionBy("label").orderBy(order))
-    return docs.withColumn("place", place).join(F.broadcast(class_sizes(docs)), "label")
+    return class_sizes(docs).where(F.col("class_size") < least).select("label")
+
+
+def heads(docs: DataFrame, wanted: Column, order: str = "doc_id") -> DataFrame:
+    """label, _last: the id of each class's k-th document by a numeric order column, where k is `wanted`, a column over class_size
+    and least_size (the smallest class's). Null where k is 0.
+
+    Only ids are looked at, and no task sees a whole class: ids are counted in ranges, the range that holds the k-th is found from the
+    ranges' running sums, and ranked alone. Rows with one id share their fate.
+    """
+    ids = docs.select("label", F.col(order).alias("_id"))
+    low, high, n = ids.agg(F.min("_id"), F.max("_id"), F.count("_id")).first()
+    width = max(1, ((high or 0) - (low or 0) + 1) * RANGE // max(1, n))
+    ids = ids.withColumn("_range", F.floor((F.col("_id") - (low or 0)) / width))
+    ranges = settled(ids.groupBy("label", "_range").agg(F.count("*").alias("_n")))
+    sizes = ranges.groupBy("label").agg(F.sum("_n").alias("class_size"))
+    least = sizes.agg(F.min("class_size")).first()[0]
+    sizes = sizes.withColumn("least_size", F.lit(least)).withColumn("_k", wanted.cast("bigint"))
+    upto = F.sum("_n").over(Window.partitionBy("label").orderBy("_range"))
+    spot = ranges.withColumn("_upto", upto).join(small(sizes.select("label", "_k")), "label")
+    spot = spot.where((F.col("_upto") >= F.col("_k")) & (F.col("_upto") - F.col("_n") < F.col("_k"))).select("label", "_range", (F.col("_k") - F.col("_upto") + F.col("_n")).alias("_at"))
+    place = F.row_number().over(Window.partitionBy("label", "_range").orderBy("_id"))
+    last = ids.join(small(spot), ["label", "_range"]).withColumn("_place", place).where(F.col("_place") == F.col("_at")).select("label", F.col("_id").alias("_last"))
+    return sizes.select("label").join(last, "label", "left")
 
 
 def stratify(docs: DataFrame, order: str = "doc_id") -> DataFrame:
     """The first documents of each class, as many as the smallest class has."""
-    placed = with_place(docs, order)
-    least = F.broadcast(class_sizes(docs).agg(F.min("class_size").alias("_least")))
-    return placed.join(least).where(F.col("place") <= F.col("_least")).select(docs.columns)
+    return docs.join(small(heads(docs, F.col("least_size"), order)), "label").where(F.col(order) <= F.col("_last")).select(docs.columns)
 
 
 def share_of(size: Column, split: float) -> Column:
@@ -44,10 +64,10 @@ def share_of(size: Column, split: float) -> Column:
 
 def split(docs: DataFrame, share: float = 0.1, order: str = "doc_id") -> DataFrame:
     """docs with is_test. A positive share takes the head of each class for testing; otherwise the head, 1 + share of
-    the class, is for training and the rest for testing."""
-    placed = with_place(docs, order)
-    test = F.col("place") <= share_of(F.col("class_size"), share) if share > 0 else F.col("place") > share_of(F.col("class_size"), 1 + share)
-    return placed.select(*docs.columns, test.alias("is_test"))
+    the class, is for training and the rest for testing. Texts aren't shuffled."""
+    placed = docs.join(small(heads(docs, share_of(F.col("class_size"), share if share > 0 else 1 + share), order)), "label")
+    head = F.coalesce(F.col(order) <= F.col("_last"), F.lit(False))
+    return placed.select(*docs.columns, (head if share > 0 else ~head).alias("is_test"))
 
 
 def without_label(docs: DataFrame, label: str) -> DataFrame:

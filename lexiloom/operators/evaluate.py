@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .learners import PAIR
+from .storage import small
+
 NO_TEXT = "error: empty text string"
 
 
@@ -12,10 +15,19 @@ def linear_scores(vectors: DataFrame, weights: DataFrame) -> DataFrame:
     """doc_id, label, score. vectors: (doc_id, idx, val); weights: (label, idx, weight). Every document gets every label."""
     labels = weights.select("label").distinct()
     dots = vectors.join(weights, "idx").groupBy("doc_id", "label").agg(F.sum(F.col("val") * F.col("weight")).alias("score"))
-    every = vectors.select("doc_id").distinct().join(F.broadcast(labels))
+    every = vectors.select("doc_id").distinct().join(small(labels))
     return every.join(dots, ["doc_id", "label"], "left").select("doc_id", "label", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+def votes(margins: DataFrame) -> DataFrame:
+    """doc_id, label, score from the margins of pairs of classes: a class's votes, then its margins."""
+    pair = F.split("label", PAIR)
+    bent = F.lit(1e-3) * F.tanh("score")
+    first = F.when(F.col("score") > 0, 1.0).otherwise(0.0)
+    both = F.array(F.struct(pair[0].alias("label"), (first + bent).alias("score")), F.struct(pair[1].alias("label"), (F.lit(1.0) - first - bent).alias("score")))
+    return margins.select("doc_id", F.inline(both)).groupBy("doc_id", "label").agg(F.sum("score").alias("score"))
+
+
 def ranked(scores: DataFrame) -> DataFrame:
     """scores with rank (1 is best; ties by label) and confidence (softmax in per cent over the document's labels)."""
     by_doc = Window.partitionBy("doc_id")

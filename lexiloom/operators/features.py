@@ -2,7 +2,8 @@
 
 Long form throughout: counts (doc_id, label, feature, cnt), dictionary (feature, idx, cnt, p), vectors
 (doc_id, idx, val). A document's features are counted inside its row, so only corpus-wide counts are shuffled, and
-those with partial sums. The dictionary keeps the background probability next to the index: one join serves both.
+those with partial sums. The dictionary keeps the background probability next to the index. `located` looks features up inside the row too, where a
+count shows the dictionary small enough to broadcast; a larger one is joined by feature (`indexed`).
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +22,8 @@ from .storage import settled
 
 UNKNOWN = "--unk--"
 CUTOFF = 1e10
+#: Dictionary entries that are broadcast at most.
+MOST_ENTRIES = 2_000_000
 
 
 def features(text: Column, char_order: int = 3, word_order: int = 1, drop_first: bool = True) -> Column:
@@ -51,19 +55,47 @@ def doc_counts(docs: DataFrame, keys: tuple[str, ...] = ("doc_id", "label"), **o
     return rows.mapInArrow(run, schema + ", feature string, cnt bigint")
 
 
+def sums(docs: DataFrame, by: tuple[str, ...] = (), **orders) -> DataFrame:
+    """by, feature, cnt, share: counts over all documents, and the sums of their shares in each document. Summed by batch before anything
+    is shuffled, so a feature of all documents is one row a batch."""
+    rows = docs.select(*by, F.coalesce("text", F.lit("")).alias("_text"))
+    names_of = [*by, "feature"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place, names, counts, shares = [], [], [], []
+            for k, text in enumerate(batch.column("_text").to_pylist()):
+                found = Counter(T.features_of(text, **orders) if text else ())
+                total = found.total()
+                place += [k] * len(found)
+                names += found.keys()
+                counts += found.values()
+                shares += [n / total for n in found.values()]
+                if len(place) > 1 << 20 or k == batch.num_rows - 1:
+                    at = pa.array(place, pa.int64())
+                    table = pa.table([*(batch.column(c).take(at) for c in by), pa.array(names, pa.string()), pa.array(counts, pa.int64()), pa.array(shares, pa.float64())], [*names_of, "cnt", "share"])
+                    for part in table.group_by(names_of).aggregate([("cnt", "sum"), ("share", "sum")]).select([*names_of, "cnt_sum", "share_sum"]).rename_columns([*names_of, "cnt", "share"]).to_batches():
+                        yield part
+                    place, names, counts, shares = [], [], [], []
+
+    schema = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in by)
+    return rows.mapInArrow(run, schema + "feature string, cnt bigint, share double").groupBy(*names_of).agg(F.sum("cnt").alias("cnt"), F.sum("share").alias("share"))
+
+
 def corpus_counts(counts: DataFrame) -> DataFrame:
     return counts.groupBy("feature").agg(F.sum("cnt").alias("cnt"))
 
 
 def ranked(df: DataFrame, column: str, out: str = "idx") -> DataFrame:
-    """df with the 0-based rank of a unique string column. No single task sees all rows: rows are
-    ranked inside their first two characters, and those few prefixes carry the offsets."""
-    df = df.withColumn("_head", F.substring(column, 1, 2))
-    heads = df.groupBy("_head").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_head").rowsBetween(Window.unboundedPreceding, -1))
-    heads = heads.select("_head", F.coalesce(before, F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_head").orderBy(column)) - 1
-    return df.withColumn("_inside", inside).join(heads, "_head").withColumn(out, (F.col("_before") + F.col("_inside")).cast("int")).drop("_head", "_n", "_before", "_inside")
+    """df with the 0-based rank of a unique string column. Rows are sorted in sampled ranges, and a row's rank is its place in its
+    range plus the rows of the ranges before; no task sees more than its range."""
+    rows = settled(df.repartitionByRange(column).sortWithinPartitions(column).withColumn("_m", F.monotonically_increasing_id()))
+    part = F.shiftright("_m", 33)
+    parts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range
+    parts = parts.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    rows = rows.withColumn("_part", part).join(F.broadcast(parts), "_part")
+    return rows.withColumn(out, (F.col("_before") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).cast("int" if out == "idx" else "bigint")).drop("_m", "_part", "_before")
 
 
 def dictionary(counts: DataFrame, min_count: int = 2, prune: float = 0.0) -> DataFrame:
@@ -76,24 +108,90 @@ def dictionary(counts: DataFrame, min_count: int = 2, prune: float = 0.0) -> Dat
     rare = F.when(F.col("cnt") < min_count, 1).otherwise(0)
     folded = corpus_counts(counts).select(F.when(kept, F.col("feature")).otherwise(UNKNOWN).alias("feature"), F.when(kept, F.col("cnt")).otherwise(rare).alias("cnt"))
     whole = folded.unionByName(counts.sparkSession.createDataFrame([(UNKNOWN, 0)], "feature string, cnt bigint"))
-    entries = ranked(settled(whole.groupBy("feature").agg(F.sum("cnt").alias("cnt"))), "feature")
-    total = entries.agg(F.sum("cnt").alias("total"))
-    p = F.col("cnt") / F.col("total")
-    return entries.join(F.broadcast(total)).select("feature", "idx", "cnt", F.when((F.col("total") > 0) & (p >= prune), p).otherwise(0.0).alias("p"))
+    entries = ranked(whole.groupBy("feature").agg(F.sum("cnt").alias("cnt")), "feature")
+    total = entries.agg(F.sum("cnt")).first()[0] or 0
+    p = F.col("cnt") / F.lit(float(total or 1))
+    return entries.select("feature", "idx", "cnt", F.when((p >= prune) & F.lit(total > 0), p).otherwise(0.0).alias("p"))
 
 
-def indexed(counts: DataFrame, entries: DataFrame, unknown: bool = True) -> DataFrame:
-    """doc_id, idx, cnt, p: counts by dictionary entry. Features outside go to UNKNOWN together, or are dropped."""
+def indexed(counts: DataFrame, entries: DataFrame, unknown: bool = True, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keys, idx, cnt, p: counts by dictionary entry, by a join. Features outside go to UNKNOWN together, or are dropped."""
     found = counts.join(entries.select("feature", "idx", "p"), "feature", "left" if unknown else "inner")
     if unknown:
-        rest = F.broadcast(entries.where(F.col("feature") == UNKNOWN).select(F.col("idx").alias("_idx"), F.col("p").alias("_p")))
-        found = found.join(rest).select("doc_id", "cnt", F.coalesce("idx", "_idx").alias("idx"), F.coalesce("p", "_p").alias("p"))
-    return found.groupBy("doc_id", "idx").agg(F.sum("cnt").alias("cnt"), F.first("p").alias("p"))
+        rest = entries.where(F.col("feature") == UNKNOWN).select("idx", "p").first()
+        found = found.select(*keys, "cnt", F.coalesce("idx", F.lit(rest.idx)).alias("idx"), F.coalesce("p", F.lit(rest.p)).alias("p"))
+    return found.groupBy(*keys, "idx").agg(F.sum("cnt").alias("cnt"), F.first("p").alias("p"))
+
+
+class Lexicon:
+    """Feature -> (index, probability), for use on the workers. Only the columns travel; the table is made where it is used."""
+
+    def __init__(self, entries: pa.Table):
+        self.names, self.idx, self.p = (entries.column(c).combine_chunks() for c in ("feature", "idx", "p"))
+        self.at: dict[str, int] | None = None
+
+    def __getstate__(self) -> dict:
+        return {"names": self.names, "idx": self.idx, "p": self.p, "at": None}
+
+    def open(self) -> Lexicon:
+        """With `at`, feature -> place; `index` and `prob` by place; `unknown`, the place of UNKNOWN."""
+        if self.at is None:
+            self.at = {f: k for k, f in enumerate(self.names.to_pylist())}
+            self.index, self.prob, self.unknown = self.idx.to_numpy(), self.p.to_numpy(), self.at[UNKNOWN]
+        return self
+
+    @staticmethod
+    def of(entries: DataFrame, most: int | None = None) -> Lexicon | None:
+        """None where the dictionary has more than `most` entries (MOST_ENTRIES)."""
+        if entries.count() > (MOST_ENTRIES if most is None else most):
+            return None
+        return Lexicon(entries.select("feature", "idx", "p").toArrow())
+
+    def places(self, text: str | None, unknown: bool = True, **orders) -> dict[int, int]:
+        """Place -> count; features outside go to UNKNOWN together, or are dropped."""
+        at, other, out = self.at, self.unknown if unknown else -1, {}
+        for f, n in Counter(T.features_of(text, **orders) if text else ()).items():
+            k = at.get(f, other)
+            out[k] = out.get(k, 0) + n
+        out.pop(-1, None)
+        return out
+
+
+def located(docs: DataFrame, entries: DataFrame, unknown: bool = True, keys: tuple[str, ...] = ("doc_id",), most: int | None = None, **orders) -> DataFrame:
+    """keys, idx, cnt, p, tf: each document's counts by dictionary entry, and their shares of the document's counts."""
+    lexicon = Lexicon.of(entries, most)
+    if lexicon is None:
+        return term_frequency(indexed(doc_counts(docs, keys, **orders), entries, unknown, keys), keys[0]).withColumnRenamed("val", "tf")
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+    rows = docs.select(*keys, F.coalesce("text", F.lit("")).alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex = shared.value.open()
+        for batch in batches:
+            owner, place, count, share = [], [], [], []
+            for k, text in enumerate(batch.column("_text").to_pylist()):
+                found = lex.places(text, unknown, **orders)
+                total = sum(found.values())
+                owner += [k] * len(found)
+                place += found.keys()
+                count += found.values()
+                share += [n / total for n in found.values()]
+                if len(owner) > 1 << 18 or k == batch.num_rows - 1:
+                    who, at = pa.array(owner, pa.int64()), np.array(place, np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [*(batch.column(c).take(who) for c in keys), pa.array(lex.index[at], pa.int32()), pa.array(count, pa.int64()), pa.array(lex.prob[at], pa.float64()), pa.array(share, pa.float64())], [*keys, "idx", "cnt", "p", "tf"]
+                    )
+                    owner, place, count, share = [], [], [], []
+
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys)
+    return rows.mapInArrow(run, schema + ", idx int, cnt bigint, p double, tf double")
 
 
-def term_frequency(vectors: DataFrame) -> DataFrame:
+def term_frequency(vectors: DataFrame, key: str = "doc_id") -> DataFrame:
     """Adds val, the entry's share of its document's counts."""
-    return vectors.withColumn("val", F.col("cnt") / F.sum("cnt").over(Window.partitionBy("doc_id")))
+    if "tf" in vectors.columns:
+        return vectors.withColumnRenamed("tf", "val")
+    return vectors.withColumn("val", F.col("cnt") / F.sum("cnt").over(Window.partitionBy(key)))
 
 
 def multiplier(p: Column, kind: str = "llr", cutoff: float = CUTOFF) -> Column:
@@ -110,11 +208,11 @@ def normalised(vectors: DataFrame, kind: str = "llr", cutoff: float = CUTOFF) ->
 
 def z_background(vectors: DataFrame) -> DataFrame:
     """idx, mean, std over all documents, where absent entries count as zero (population std)."""
-    n = vectors.agg(F.count_distinct("doc_id").cast("double").alias("n"))
-    sums = vectors.groupBy("idx").agg(F.sum("val").alias("s"), F.sum(F.col("val") * F.col("val")).alias("q"))
-    mean = F.col("s") / F.col("n")
-    spread = F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0))
-    return sums.join(F.broadcast(n)).select("idx", mean.alias("mean"), F.sqrt(spread).alias("std"))
+    n = float(vectors.select("doc_id").distinct().count())
+    totals = vectors.groupBy("idx").agg(F.sum("val").alias("s"), F.sum(F.col("val") * F.col("val")).alias("q"))
+    mean = F.col("s") / F.lit(n or 1.0)
+    spread = F.greatest(F.col("q") / F.lit(n or 1.0) - mean * mean, F.lit(0.0))
+    return totals.select("idx", mean.alias("mean"), F.sqrt(spread).alias("std"))
 
 
 def z_normalised(vectors: DataFrame, background: DataFrame) -> DataFrame:
@@ -148,14 +246,8 @@ def chunked(ids: DataFrame, parts: int, order: str = "doc_id") -> DataFrame:
 
 
 def positions(ids: DataFrame, order: str) -> DataFrame:
-    """ids with _at, the 0-based place by a numeric, unique order column; ranked in ranges, never in a single task."""
-    width = 1 << 16
-    ids = ids.withColumn("_range", F.floor(F.col(order) / width))
-    sizes = ids.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1
-    return ids.withColumn("_in", inside).join(sizes, "_range").withColumn("_at", F.col("_before") + F.col("_in")).drop("_range", "_before", "_in")
+    """ids with _at, the 0-based place by an order column; sorted in sampled ranges, never in a single task."""
+    return ranked(ids, order, "_at")
 
 
 def dot(a: DataFrame, b: DataFrame) -> DataFrame:

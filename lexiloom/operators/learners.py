@@ -186,6 +186,19 @@ def learn(method: str, examples: list[tuple[Example, str]], classes: list[str],
     return LEARNERS[method](examples, classes, dimension, **options)
 
 
+def no_regression(*_, **__) -> Linear:
+    raise ValueError("the perceptron has no regression; take mira or svm")
+
+
+REGRESSIONS: dict[str, Callable] = {"mira": passive_aggressive, "svm": support_vector_regression, "svmopen": support_vector_regression, "perceptron": no_regression}
+
+
+def learn_values(method: str, examples: list[tuple[Example, float]], dimension: int, **options) -> Linear:
+    if method not in REGRESSIONS:
+        raise ValueError(f"no such learner: {method}; there are {', '.join(REGRESSIONS)}")
+    return REGRESSIONS[method](examples, dimension, **options)
+
+
 def packed(vectors: DataFrame, docs: DataFrame) -> DataFrame:
     """doc_id, label, index (ascending), value: one row a document, also where it has no features."""
     entries = vectors.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "val"))).alias("e"))
@@ -200,29 +213,55 @@ def in_order(rows: pd.DataFrame) -> list[tuple[Example, str]]:
     return [((np.asarray(i, np.int64), np.asarray(v, float)), y) for i, v, y in zip(rows["index"], rows["value"], rows["label"])]
 
 
+#: Between the two classes of a pair's name, and the index of the constant input, whose weight is a bias.
+PAIR, BIAS = "\x1f", -1
+
+
 def weight_rows(model: Linear) -> Iterable[tuple[str, int, float]]:
+    """(label, idx, weight). A pairwise model has a "label" for each pair of classes, with its bias at BIAS."""
+    if isinstance(model, Pairwise):
+        for a, b, w, bias in model.pairs:
+            name = model.classes[a] + PAIR + model.classes[b]
+            yield name, BIAS, float(bias)
+            for j in np.flatnonzero(w):
+                yield name, int(j), float(w[j])
+        return
     for k, c in enumerate(model.classes):
+        if "bias" in model.extra:
+            yield c, BIAS, float(model.extra["bias"])
         for j in np.flatnonzero(model.weights[k]):
             yield c, int(j), float(model.weights[k, j])
 
 
-def train_many(examples: DataFrame, configs: DataFrame, by: str = "set_id", max_examples: int = 2_000_000) -> DataFrame:
-    """config_id, label, idx, weight, updates: a model for each row of configs (config_id, set_id, method, iterations, slack, k_best, average).
+#: Examples of one model, which is one task; larger sets are refused, not sampled.
+MAX_EXAMPLES = 2_000_000
+#: Tasks, and so copies of a set of examples, that its models are spread over.
+SLICES = 8
+
+
+def train_many(examples: DataFrame, configs: list[dict], by: str = "set_id", max_examples: int = MAX_EXAMPLES, slices: int = SLICES) -> DataFrame:
+    """config_id, label, idx, weight, updates: a model for each of configs (config_id, set_id, method, regress, options).
 
-    examples: packed rows with the set they belong to. Each (config, set) is one task.
+    examples: packed rows with the set they belong to. A set is sent once to each of a few tasks, and each task trains its part of the set's
+    models, one after another, over that one copy.
     """
-    rows = configs.join(examples, by)
+    largest = examples.groupBy(by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest > max_examples:
+        raise ValueError("a model's examples exceed max_examples")
+    few = max(1, min(slices, len(configs)))
+    rows = examples.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(few - 1))))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        if len(group) > max_examples:
-            raise ValueError("a model's examples exceed max_examples")
-        first, found = group.iloc[0], in_order(group)
+        found, out = in_order(group), []
         dimension = 1 + max((int(x[0].max()) for x, _ in found if len(x[0])), default=0)
-        options = {"iterations": int(first["iterations"]), "average": bool(first["average"])}
-        if first["method"] == "mira":
-            options |= {"slack": float(first["slack"]), "k_best": int(first["k_best"])}
-        model = learn(first["method"], found, sorted(set(group["label"])), dimension, **({} if first["method"].startswith("svm") else options))
-        out = pd.DataFrame(list(weight_rows(model)), columns=["label", "idx", "weight"])
-        return out.assign(config_id=first["config_id"], updates=model.updates)[["config_id", "label", "idx", "weight", "updates"]]
-
-    return rows.groupBy("config_id", by).applyInPandas(run, "config_id int, label string, idx int, weight double, updates long")
+        own = [c for c in configs if c["set_id"] == group.iloc[0][by]]
+        for c in own[int(group.iloc[0]["_slice"]) :: few]:
+            if c.get("regress"):
+                model = learn_values(c["method"], [(x, float(y)) for x, y in found], dimension, **c["options"])
+            else:
+                model = learn(c["method"], found, sorted(set(group["label"])), dimension, **c["options"])
+            part = pd.DataFrame(list(weight_rows(model)), columns=["label", "idx", "weight"])
+            out.append(part.assign(config_id=c["config_id"], updates=model.updates)[["config_id", "label", "idx", "weight", "updates"]])
+        return pd.concat(out) if out else pd.DataFrame(columns=["config_id", "label", "idx", "weight", "updates"])
+
+    return rows.groupBy(by, "_slice").applyInPandas(run, "config_id int, label string, idx int, weight double, updates long")

@@ -5,7 +5,19 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; where that is unset, as in tests, a local one, which only a local master can share."""
+    have = spark.conf.get("spark.checkpoint.dir", None)
+    if not have:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        have = tempfile.mkdtemp(prefix="lexiloom-")
+        spark.conf.set("spark.checkpoint.dir", have)
+    return have
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -14,7 +26,16 @@ def settled(df: DataFrame) -> DataFrame:
     The folder is the session's spark.checkpoint.dir; only where that is unset, as in tests, is it a local one.
     """
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexiloom-")
-    path = f"{base}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+#: Rows of a table that is broadcast; larger ones are joined by shuffle.
+MOST_SMALL = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, settled, with a broadcast hint where a count shows that it has few rows."""
+    df = settled(df)
+    return F.broadcast(df) if df.count() <= MOST_SMALL else df

@@ -99,7 +99,31 @@ def top(features: str) -> str:
     QUALIFY row_number() OVER (PARTITION BY label ORDER BY cnt DESC, feature) <= 20"""
 
 
+def segments() -> str:
+    """Tables t (the corpus' tokens in order, with their neighbours over all lines, and whether they are boundaries) and stats."""
+    mark, piece = "([.]+|[。۔…?!])", '[^\\s\\x0B\\x{85}\\p{Z},;"]+'
+    plain = "translate(text, '’‘`“”', '" + "''" * 3 + '""' + "')"
+    parts = f"list_transform(regexp_extract_all({plain}, '{piece}'), lambda x: CASE WHEN regexp_full_match(x, '.+?{mark}') AND NOT regexp_full_match(x, '{mark}') THEN [regexp_extract(x, '^(.+?){mark}$', 1), regexp_extract(x, '^(.+?){mark}$', 2)] ELSE [x] END)"
+    return f"""{CORPUS}, tk AS (SELECT doc_id, flatten({parts}) AS ws FROM corpus),
+        t0 AS (SELECT doc_id, unnest(range(len(ws))) AS spot, unnest(ws) AS word FROM tk),
+        t1 AS (SELECT *, lead(word) OVER (PARTITION BY doc_id ORDER BY spot) AS follows FROM t0),
+        t AS (SELECT word, regexp_full_match(word, '{mark}') AS mark, coalesce(lag(word) OVER o, '<s>') AS prev, coalesce(lead(word) OVER o, '<s>') AS after FROM t1
+            WHERE follows IS DISTINCT FROM word OR NOT regexp_full_match(word, '[.!?]+') WINDOW o AS (ORDER BY doc_id, spot)),
+        stats AS (SELECT 'N' AS stat, '' AS a, '' AS b, count(*) AS n FROM t HAVING count(*) > 0 UNION ALL SELECT 'cA', word, '', count(*) FROM t GROUP BY word UNION ALL SELECT 'cAB', prev, '', count(*) FROM t WHERE mark GROUP BY prev
+            UNION ALL SELECT 'cPN', prev, after, count(*) FROM t WHERE mark GROUP BY prev, after UNION ALL SELECT 'cB', '', '', count(*) FROM t WHERE mark HAVING count(*) > 0)"""
+
+
+def abbreviations() -> str:
+    log = "CASE WHEN {0} >= 1e-20 THEN ln({0}) ELSE -5000 END".format
+    llr = f"2 * (ab * ln(0.99) + (w - ab) * ln(1 - 0.99) - ab * ({log('p')}) - (w - ab) * ({log('(1 - p)')}))"
+    return f"""WITH {segments()}, x AS (SELECT s.a AS word, s.n::DOUBLE AS ab, c.n::DOUBLE AS w, (SELECT n FROM stats WHERE stat = 'cB')::DOUBLE / (SELECT n FROM stats WHERE stat = 'N') AS p
+        FROM stats s JOIN stats c ON s.a = c.a AND s.stat = 'cAB' AND c.stat = 'cA')
+        SELECT word, round(({llr}) * CASE WHEN regexp_full_match(word, '([.]+|[。۔…?!])') THEN 2 ELSE 1 END * exp(-(length(word) + 1)) * pow(length(word)::DOUBLE, ab - w), 6) + 0.0 AS score FROM x"""
+
+
 ORACLE: dict[str, str] = {
+    "segmenter_counts": f"WITH {segments()} SELECT stat, count(*) AS n_entries, sum(n)::BIGINT AS total, max(n) AS most FROM stats GROUP BY stat",
+    "abbr_llr": abbreviations(),
     "clean_space": shown(clean()),
     "lower_case": shown("lower(text)"),
     "regex_replace": shown(replaced("[aeiou]+", "_")),

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions import markup, tokenizers
 from lexiloom.functions import text as T
 from lexiloom.operators import dataset, evaluate, features, language_model, learners, model, segmenter, sweep
+from lexiloom.operators.storage import settled, shared_folder
 from lexiloom.plans import stages
 from lexiloom.sources import labelled
 from lexiloom.streaming import score
@@ -89,32 +89,26 @@ def rejected_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled.rejected(docs).groupBy("value").agg(F.count("*").alias("n"))
 
 
-def top_features(spark: SparkSession, sf_dir: str, made: Callable[[Column], Column], k: int = 20) -> DataFrame:
-    counts = corpus(spark, sf_dir).select("label", F.explode(made(F.col("text"))).alias("feature")).groupBy("label", "feature").agg(F.count("*").alias("cnt"))
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cnt")).alias("n"), "feature"))), 1, k)
-    # Each label's features are cut to its k best in partial steps, never gathered whole.
-    parts = counts.withColumn("_part", F.pmod(F.xxhash64("feature"), F.lit(64))).groupBy("label", "_part").agg(best.alias("b"))
-    found = parts.select("label", F.inline("b")).groupBy("label").agg(best_of(k).alias("b"))
-    return found.select("label", F.posexplode("b").alias("rank", "x")).select("label", (F.col("rank") + 1).alias("rank"), "x.feature", (-F.col("x.n")).alias("cnt"))
-
-
-def best_of(k: int) -> Column:
-    return F.slice(F.array_sort(F.collect_list(F.struct("n", "feature"))), 1, k)
+def top_features(spark: SparkSession, sf_dir: str, k: int = 20, **orders) -> DataFrame:
+    """Each label's k most frequent features. Spark cuts each task's rows to k a label before they are shuffled for the rank."""
+    counts = features.sums(corpus(spark, sf_dir), ("label",), **orders)
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.col("cnt").desc(), "feature"))
+    return counts.withColumn("rank", rank).where(F.col("rank") <= k).select("label", "rank", "feature", "cnt")
 
 
 @query
 def char_ngrams_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top_features(spark, sf_dir, lambda c: T.ngrams(T.char_tokens(T.clean_space(c)), 1, 3))
+    return top_features(spark, sf_dir, char_order=3, word_order=0)
 
 
 @query
 def word_ngrams_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top_features(spark, sf_dir, lambda c: T.ngrams(T.word_tokens(T.clean_space(c)), 1, 2))
+    return top_features(spark, sf_dir, char_order=0, word_order=2)
 
 
 @query
 def wc_features_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top_features(spark, sf_dir, features.features)
+    return top_features(spark, sf_dir)
 
 
 @query
@@ -131,19 +125,18 @@ def splits(spark: SparkSession, sf_dir: str, share: float = 0.1) -> tuple[DataFr
     return parts.where("NOT is_test").drop("is_test"), parts.where("is_test").drop("is_test")
 
 
-def full_dictionary(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    counts = features.doc_counts(corpus(spark, sf_dir))
-    return counts, features.dictionary(counts)
+def full_dictionary(spark: SparkSession, sf_dir: str, **orders) -> DataFrame:
+    return settled(features.dictionary(features.sums(corpus(spark, sf_dir), **orders)))
 
 
 @query
 def feature_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return full_dictionary(spark, sf_dir)[1].select("feature", "idx", "cnt")
+    return full_dictionary(spark, sf_dir).select("feature", "idx", "cnt")
 
 
 @query
 def background_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return full_dictionary(spark, sf_dir)[1].select("idx", F.round("p", 12).alias("p"))
+    return full_dictionary(spark, sf_dir).select("idx", F.round("p", 12).alias("p"))
 
 
 def summary(vectors: DataFrame, places: int = 6) -> DataFrame:
@@ -152,19 +145,18 @@ def summary(vectors: DataFrame, places: int = 6) -> DataFrame:
 
 @query
 def tfllr_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts, entries = full_dictionary(spark, sf_dir)
-    return summary(features.normalised(features.indexed(counts, entries)))
+    return summary(features.normalised(features.located(corpus(spark, sf_dir), full_dictionary(spark, sf_dir))))
 
 
 @query
 def tflog_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts, entries = full_dictionary(spark, sf_dir)
-    return summary(features.normalised(features.indexed(counts, entries), "log"))
+    return summary(features.normalised(features.located(corpus(spark, sf_dir), full_dictionary(spark, sf_dir)), "log"))
 
 
 def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = features.doc_counts(corpus(spark, sf_dir), char_order=1)
-    return features.term_frequency(features.indexed(counts, features.dictionary(counts))).select("doc_id", "idx", "val")
+    """Term frequencies of single characters and words."""
+    found = features.located(corpus(spark, sf_dir), full_dictionary(spark, sf_dir, char_order=1), char_order=1)
+    return features.term_frequency(found).select("doc_id", "idx", "val")
 
 
 @query
@@ -183,18 +175,16 @@ def znorm_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def oov_to_unk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of the test documents inside and outside the training documents' dictionary."""
     train, test = splits(spark, sf_dir)
-    entries = features.dictionary(features.doc_counts(train))
-    found = features.indexed(features.doc_counts(test), entries)
-    unknown = F.broadcast(entries.where(F.col("feature") == features.UNKNOWN).select(F.col("idx").alias("_u")))
-    is_unknown = F.col("idx") == F.col("_u")
-    return found.join(unknown).groupBy("doc_id").agg(F.sum(F.when(is_unknown, F.col("cnt")).otherwise(0)).alias("n_unknown"), F.sum(F.when(~is_unknown, F.col("cnt")).otherwise(0)).alias("n_known"))
+    entries = settled(features.dictionary(features.sums(train)))
+    unknown = entries.where(F.col("feature") == features.UNKNOWN).select("idx").first()[0]
+    is_unknown = F.col("idx") == unknown
+    return features.located(test, entries).groupBy("doc_id").agg(F.sum(F.when(is_unknown, F.col("cnt")).otherwise(0)).alias("n_unknown"), F.sum(F.when(~is_unknown, F.col("cnt")).otherwise(0)).alias("n_known"))
 
 
 @query
 def known_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = splits(spark, sf_dir)
-    entries = features.dictionary(features.doc_counts(train))
-    found = features.indexed(features.doc_counts(test), entries, unknown=False)
+    found = features.located(test, settled(features.dictionary(features.sums(train))), unknown=False)
     return found.groupBy("doc_id").agg(F.count("*").alias("n_entries"), F.sum("cnt").alias("n_known"))
 
 
@@ -308,11 +298,11 @@ def distinct_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mean_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Test documents, and their scores against the training classes' mean vectors."""
     train, test = splits(spark, sf_dir)
-    counts = features.doc_counts(train)
-    entries = features.dictionary(counts)
-    weights = model.class_means(features.normalised(features.indexed(counts, entries)), train)
-    vectors = features.normalised(features.indexed(features.doc_counts(test), entries))
-    return test, evaluate.linear_scores(vectors, weights)
+    sums = settled(features.sums(train, ("label",)))
+    entries = settled(features.dictionary(sums))
+    weights = settled(model.class_means(sums, entries, train))
+    labels = sorted(r[0] for r in weights.select("label").distinct().collect())
+    return test, model.Model(model.Options(), entries, weights, labels).raw_scores(test)
 
 
 @query
@@ -399,7 +389,7 @@ def segmenter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def abbr_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segmenter.abbreviation_scores(segmenter.counts(corpus(spark, sf_dir))).select("word", F.round("score", 6).alias("score"))
+    return segmenter.abbreviation_scores(segmenter.counts(corpus(spark, sf_dir))).select("word", (F.round("score", 6) + F.lit(0.0)).alias("score"))
 
 
 @query
@@ -418,12 +408,12 @@ def trained(spark: SparkSession, sf_dir: str, method: str, **options) -> DataFra
 
 @query
 def train_mira(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trained(spark, sf_dir, "mira", iterations=10)
+    return trained(spark, sf_dir, "mira")
 
 
 @query
 def train_perceptron(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trained(spark, sf_dir, "perceptron", iterations=10)
+    return trained(spark, sf_dir, "perceptron")
 
 
 @query
@@ -431,18 +421,25 @@ def train_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trained(spark, sf_dir, "svm")
 
 
+def embedded_regression(spark: SparkSession, sf_dir: str, method: str, **options) -> DataFrame:
+    """Regression of the embeddings' labels, trained in one task; errors by label."""
+    rows = table(spark, sf_dir, "embeddings")
+    packed = rows.select(F.col("vec_id").alias("doc_id"), F.col("label").cast("string").alias("label"), F.sequence(F.lit(0), F.size("embedding") - 1).alias("index"), F.col("embedding").cast("array<double>").alias("value"), F.lit(0).alias("set_id"))
+    weights = settled(learners.train_many(packed, [{"config_id": 0, "set_id": 0, "method": method, "regress": True, "options": options}]))
+    vectors = embedded(spark, sf_dir)
+    biased = vectors.unionByName(rows.select(F.col("vec_id").alias("doc_id"), F.lit(learners.BIAS).alias("idx"), F.lit(1.0).alias("val")))
+    outputs = rows.select(F.col("vec_id").alias("doc_id"), F.col("label").alias("truth")).join(evaluate.linear_scores(biased, weights).select("doc_id", "score"), "doc_id")
+    return evaluate.regression_errors(outputs).select("label", "n", F.round("mse", 6).alias("mse"))
+
+
 @query
 def mira_regress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passive-aggressive regression of the embeddings' labels; errors by label."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label").orderBy("vec_id").toPandas()
-    import numpy as np
-
-    examples = [((np.arange(len(e)), np.asarray(e, float)), float(y)) for e, y in zip(rows["embedding"], rows["label"])]
-    fitted = learners.passive_aggressive(examples, max(len(e) for e in rows["embedding"]), 10, slack=1.0)
-    weights = F.array(*[F.lit(float(x)) for x in fitted.weights[0]])
-    score_of = F.aggregate(F.zip_with("embedding", weights, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda a, x: a + x)
-    outputs = table(spark, sf_dir, "embeddings").select(F.col("label").alias("truth"), score_of.alias("score"))
-    return evaluate.regression_errors(outputs).select("label", "n", F.round("mse", 6).alias("mse"))
+    return embedded_regression(spark, sf_dir, "mira", iterations=10, slack=1.0)
+
+
+@query
+def svm_regress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedded_regression(spark, sf_dir, "svm", c=1.0, rounds=30)
 
 
 @query
@@ -455,8 +452,8 @@ def sweep_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model that is saved, loaded and applied to all documents."""
     docs = corpus(spark, sf_dir)
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/model-{uuid.uuid4().hex}"
-    model.fit(docs, model.Options(method="perceptron", iterations=5, char_order=2)).save(path)
+    path = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
+    model.fit(docs, model.Options(method="perceptron")).save(path)
     return evaluate.confusion(model.Model.load(spark, path).outputs(docs))
 
 
@@ -497,15 +494,14 @@ def org_to_textile(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as a stream, scored by a model of the training split."""
     train, _ = splits(spark, sf_dir)
-    fitted = model.fit(train, model.Options(method="perceptron", iterations=3, char_order=2))
+    fitted = model.fit(train, model.Options(method="perceptron"))
     source = f"{sf_dir}/documents.parquet"
     schema = spark.read.parquet(source).schema
     import os
 
     folder, glob = (source, "*.parquet") if os.path.isdir(source) else (sf_dir, "documents.parquet")
     stream = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
-    name = f"scored_{uuid.uuid4().hex[:8]}"
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexiloom-")
+    base = f"{shared_folder(spark)}/scored-{uuid.uuid4().hex}"
     made = score.scored(stream.select("doc_id", F.col("lang").alias("label"), "text"), fitted)
-    score.run_once(made.select("label", "output"), name, f"{base}/{name}")
-    return spark.table(name).groupBy("label", "output").agg(F.count("*").alias("n"))
+    score.run_once(made.select("label", "output"), f"{base}/rows", f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/rows").groupBy("label", "output").agg(F.count("*").alias("n"))

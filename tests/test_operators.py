@@ -196,9 +196,10 @@ def test_language_model(spark):
 def test_segmenter(spark):
     assert segmenter.tokens('Hi there. "Go!!" he') == [("Hi", 2, "Word"), ("there", 8, "Word"), (".", 9, "Boundary"), ("Go!", 14, "Word"), ("!", 15, "Boundary"), ("he", 19, "Word")]
     lines = spark.createDataFrame([(1, "We met Dr. Who."), (2, "He left. Then rain came."), (3, None), (4, "Dr. No is here.")], "doc_id long, text string")
+    got = {(r.stat, r.a, r.b): r.n for r in segmenter.counts(lines).collect()}
+    assert got["N", "", ""] == 19 and got["cB", "", ""] == 6 and got["cAB", "Dr", ""] == 2
+    assert got["cPN", "left", "Then"] == 1 and got["cPN", "Who", "He"] == 1
     stats = segmenter.Statistics.collect(lines)
-    assert stats.total == 19 and stats.boundaries == 6 and stats.before["Dr"] == 2
-    assert stats.around["left", "Then"] == 1 and stats.around["Who", "He"] == 1
     cut = segmenter.split_sentences(lines, stats).where("doc_id = 2").orderBy("at").collect()
     assert [r.sentence for r in cut] == ["He left.", "Then rain came."]
 
@@ -206,3 +207,72 @@ def test_segmenter(spark):
 def test_start_ratio_is_defined_everywhere():
     assert segmenter.start_ratio(0, 0, 0, 10) == 0.0 and segmenter.start_ratio(5, 5, 10, 10) == 0.0
     assert segmenter.start_ratio(9, 10, 10, 1000) > segmenter.start_ratio(1, 10, 10, 1000)
+
+
+def test_counts_agree_with_the_contexts_of_all_tokens(spark):
+    import random
+
+    rng = random.Random(5)
+    words = ["a", "Dr.", "b!", "...", ".", "?", "c?!", "d..", "e", "!!", "“f”", "g;h"]
+    rows = [(k * 7 - 50, " ".join(rng.choices(words, k=rng.randint(0, 6)))) for k in range(80)] + [(9000, None), (9001, "."), (9002, "!")]
+    lines = spark.createDataFrame(rows, "doc_id long, text string")
+    every = segmenter.contexts(lines).collect()
+    want = {("N", "", ""): len(every)}
+    for r in every:
+        keys = [("cA", r.word, "")]
+        if segmenter.BOUNDARY.fullmatch(r.word):
+            keys += [("cAB", r.prev, ""), ("cPN", r.prev, r.next), ("cB", "", "")]
+        for k in keys:
+            want[k] = want.get(k, 0) + 1
+    assert {(r.stat, r.a, r.b): r.n for r in segmenter.counts(lines).collect()} == want
+    assert segmenter.counts(lines.limit(0)).where("n > 0").count() == 0
+
+
+def test_columns_agree_with_the_formulas(spark):
+    cases = [(float(s), float(w), float(b), float(n)) for s in (0, 1, 3) for w in (0, 3, 9) for b in (0, 3, 10) for n in (10, 50)]
+    frame = spark.createDataFrame(cases, "s double, w double, b double, n double")
+    got = frame.select("*", segmenter.ratio(F.col("s"), F.col("w"), F.col("b"), F.col("n")).alias("r"), segmenter.known(F.col("s"), F.col("w"), F.lit(0.2)).alias("k")).collect()
+    for r in got:
+        assert math.isclose(r.r, segmenter.start_ratio(r.s, r.w, r.b, r.n), rel_tol=1e-9, abs_tol=1e-9)
+        assert math.isclose(r.k, segmenter.binomial_llr(r.s, r.w, 0.2), rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_an_svm_scores_what_was_trained(spark):
+    """Votes and biases of the pairs reach the saved model: in the row, by joins, and in a plain training on the same vectors."""
+    docs = spark.createDataFrame(CORPUS + [(100 + k, "de", f"die katze {k}") for k in range(6)], "doc_id long, label string, text string")
+    o = model.Options(method="svm", char_order=1)
+    fitted = model.fit(docs, o)
+    rows = learners.in_order(model.packed_rows(docs, fitted.dictionary, o).toPandas())
+    plain = learners.svm(rows, ["de", "en", "fr"], fitted.dictionary.count())
+    want = [plain.best(x) for x, _ in rows]
+    order = [r.doc_id for r in docs.orderBy(F.col("label").desc(), "doc_id").collect()]
+    for most in (None, 0):
+        with pytest.MonkeyPatch.context() as m:
+            if most == 0:
+                m.setattr(features, "MOST_ENTRIES", 0)
+            got = {r.doc_id: r.label for r in fitted.predict(docs).collect()}
+        assert [got[d] for d in order] == want
+    runs = sweep.sweep(spark, docs, [{"method": "svm", "char_order": 1}, {"method": "svm", "char_order": 1, "c": 4.0}, {"cutoff": 1e-9, "char_order": 1}]).collect()
+    assert len(runs) == 3 and len({r.n for r in runs}) == 1 and all(0 <= r.accuracy <= 1 for r in runs)
+
+
+def test_regression_end_to_end(spark):
+    docs = spark.createDataFrame([(k, str(float(k % 3)), " ".join(["low", "mid", "high"][k % 3] for _ in range(4))) for k in range(60)], "doc_id long, label string, text string")
+    for method in ("mira", "svm"):
+        fitted = model.fit(docs, model.Options(method=method, regress=True, slack=1.0))
+        errors = {r.label: r.mse for r in evaluate.regression_errors(fitted.values(docs)).collect()}
+        assert errors["all"] < 0.2
+    with pytest.raises(Exception, match="perceptron has no regression"):
+        model.fit(docs, model.Options(method="perceptron", regress=True)).weights.count()
+
+
+def test_dictionary_by_join_and_in_the_row(spark, docs):
+    entries = features.dictionary(features.sums(docs))
+    for unknown in (True, False):
+        near, far = (sorted(tuple(r) for r in features.located(docs, entries, unknown, most=m).select("doc_id", "idx", "cnt", "p", F.round("tf", 12)).collect()) for m in (None, 0))
+        assert near == far
+    by = {(r.label, r.feature): r.cnt for r in features.sums(docs, ("label",)).collect()}
+    want = {}
+    for r in features.doc_counts(docs).collect():
+        want[r.label, r.feature] = want.get((r.label, r.feature), 0) + r.cnt
+    assert by == want

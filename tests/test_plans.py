@@ -117,8 +117,8 @@ def test_service(fitted):
 def test_stream(spark, fitted, tmp_path):
     spark.createDataFrame(CORPUS, "doc_id long, label string, text string").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("doc_id long, label string, text string").parquet(str(tmp_path / "in"))
-    score.run_once(score.scored(stream, fitted), "scored_test", str(tmp_path / "c"))
-    rows = spark.table("scored_test").collect()
+    score.run_once(score.scored(stream, fitted), str(tmp_path / "out"), str(tmp_path / "c"))
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert len(rows) == len(CORPUS) and all(r.label == r.output for r in rows)
 
 
