@@ -4,8 +4,9 @@ Two fingerprints of 64 bits that differ in at most `radius` bits agree, in at le
 disjoint blocks, to within r = radius // blocks bits. In each block, every distinct fingerprint emits
 all variants of that block within half of r (rounded up) flipped bits; two fingerprints within r
 bits then share a variant. The variants are shuffled, pairs that collide are verified on all 64 bits and
-deduplicated. One block is the textbook form; it emits 43,745 variants a fingerprint for a radius of 6,
-three blocks emit 67 and find the same pairs, because the verification is exact either way.
+deduplicated. One block is the textbook form; it emits 43,745 variants a fingerprint for a radius of 6, two emit 1,058 and
+three 67. All find the same pairs, because the verification is exact, but narrow blocks also bring unlike fingerprints together, in proportion to the square
+of their number; `blocks_for` takes the cheapest for the number of distinct fingerprints.
 
 Exact copies are one class before anything is emitted, so a group of copies costs one fingerprint.
 
@@ -17,6 +18,7 @@ keeps exactly one row of each component: that of the least id, nulls last, and o
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,27 +63,46 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return counted.select("doc_id", *carry, F.when(F.col("_n") > 0, fp).otherwise(F.lit(0).cast("bigint")).alias("fp"))
 
 
-def ball(radius: int, blocks: int) -> list[tuple[int, int, int, int]]:
-    """(tag, shift, mask, flip) of every variant that a fingerprint emits."""
+def ball(radius: int, blocks: int) -> list[tuple[int, int, int, list[int]]]:
+    """(tag, shift, mask, flips) of each block: the flips of every variant that a fingerprint emits for it."""
     edges = [round(64 * i / blocks) for i in range(blocks + 1)]
     half = -(-(radius // blocks) // 2)
     out = []
     for tag, (lo, hi) in enumerate(zip(edges, edges[1:])):
-        for k in range(half + 1):
-            for bits in combinations(range(hi - lo), k):
-                out.append((tag, lo, (1 << (hi - lo)) - 1, sum(1 << b for b in bits)))
+        flips = [sum(1 << b for b in bits) for k in range(half + 1) for bits in combinations(range(hi - lo), k)]
+        out.append((tag, lo, (1 << (hi - lo)) - 1, flips))
     return out
 
 
+def cost(n: int, radius: int, blocks: int) -> tuple[float, float]:
+    """Variants that n distinct fingerprints emit, and pairs of unlike ones that are expected to meet in them."""
+    width, half = 64 / blocks, -(-(radius // blocks) // 2)
+    each = sum(comb(round(width), k) for k in range(half + 1))
+    return n * blocks * each, n * (n - 1) / 2 * blocks * each * each / 2.0**width
+
+
+def blocks_for(n: int, radius: int = 6) -> int:
+    """The number of blocks, one to three, whose variants and expected candidates are fewest together: three up to some 3 million
+    fingerprints, two up to some 10 billion, then one."""
+    return min((3, 2, 1), key=lambda b: sum(cost(n, radius, b)))
+
+
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def linked_pairs(fps: DataFrame, radius: int = 6, blocks: int = 3) -> DataFrame:
     """(a, b) with a < b of distinct fingerprints within radius bits. fps: distinct values in column fp."""
-    if not 1 < blocks <= 8:
-        raise ValueError("two to eight blocks, so that the tag fits above the block's bits")
-    variants = [
-        F.struct(F.lit(shift).alias("s"), F.lit(mask).cast("bigint").alias("m"), F.lit(flip).cast("bigint").alias("f"), F.lit(tag << 56).cast("bigint").alias("t"))
-        for tag, shift, mask, flip in ball(radius, blocks)
-    ]
-    emitted = fps.select("fp", F.inline(F.array(*variants)))
+    if not 1 <= blocks <= 8:
+        raise ValueError("one to eight blocks, so that the tag fits above the block's bits")
+    parts = [
+        F.struct(
+            F.lit(shift).alias("s"), F.lit(signed(mask)).cast("bigint").alias("m"), F.lit(tag << 56).cast("bigint").alias("t"),
+            F.split(F.lit(",".join(str(signed(f)) for f in flips)), ",").cast("array<bigint>").alias("fs"),
+        )
+        for tag, shift, mask, flips in ball(radius, blocks)
+    ]
+    emitted = fps.select("fp", F.inline(F.array(*parts))).select("fp", "s", "m", "t", F.explode("fs").alias("f"))
     key = F.expr("shiftrightunsigned(fp, s)").bitwiseAND(F.col("m")).bitwiseXOR(F.col("f")).bitwiseOR(F.col("t"))
     emitted = emitted.select("fp", key.alias("key"))
     # Spark can't foresee how far the variants multiply the rows; without the hint it might broadcast them.
@@ -90,12 +111,12 @@ def linked_pairs(fps: DataFrame, radius: int = 6, blocks: int = 3) -> DataFrame:
     return a.hint("merge").join(b, "key").where(near).select("a", "b").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node reachable over edges (a, b). Labels fall to the least neighbour's label,
     then jump to their label's label, so the rounds grow with the logarithm of the longest path."""
     both = cut(edges.select("a", "b").union(edges.select("b", "a")))
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
-    for _ in range(rounds):
+    while True:  # labels only fall, so this ends
         least = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("m"))
         hop = labels.join(least, "node").select("node", F.least("root", "m").alias("next"), F.col("root").alias("was"))
         jump = labels.select(F.col("node").alias("next"), F.col("root").alias("far"))
@@ -103,20 +124,19 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         labels, changed = new.select("node", "root"), new.where("root != was").limit(1).count()
         if not changed:
             return labels
-    raise RuntimeError(f"no fixed point in {rounds} rounds")
 
 
-def linked(fps: DataFrame, radius: int, blocks: int) -> DataFrame:
+def linked(fps: DataFrame, radius: int, blocks: int | None) -> DataFrame:
     """fp, n (rows), first (least id), others (rows linked directly), root (least fingerprint reachable) of the distinct fingerprints of fps."""
     classes = cut(fps.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")))
-    pairs = cut(linked_pairs(classes.select("fp"), radius, blocks))
+    pairs = cut(linked_pairs(classes.select("fp"), radius, blocks or blocks_for(classes.count(), radius)))
     directed = pairs.union(pairs.select("b", "a"))
     near = directed.join(classes.select(F.col("fp").alias("b"), "n"), "b").groupBy(F.col("a").alias("fp")).agg(F.sum("n").alias("others"))
     roots = components(pairs).withColumnRenamed("node", "fp")
     return classes.join(near, "fp", "left").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 6, blocks: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 6, blocks: int | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), n_near (other rows linked directly), component_id (least id reachable)."""
     fps = cut(fingerprints(docs, id_col, text_col))
     member = linked(fps, radius, blocks)
@@ -125,7 +145,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "n_near", "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = 6, blocks: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, radius: int = 6, blocks: int | None = None) -> DataFrame:
     """Exactly one row of docs for each component: the least by id (nulls last), then by the key of id and text."""
     keyed = docs.withColumn("_key", row_key(F.col("doc_id"), F.col("text")))
     fps = cut(fingerprints(keyed, carry=("_key",)))

@@ -94,12 +94,17 @@ def test_keep_one_keeps_a_row_of_each_component(spark):
     assert got == sorted([(5, texts[0]), (3, texts[1].upper()), (None, texts[2]), (7, texts[3]), (8, None), (9, "x y"), (None, "alone without id")], key=repr)
 
 
-@pytest.mark.parametrize("blocks", [2, 3])
+def test_blocks_follow_the_number_of_fingerprints():
+    assert [simhash.blocks_for(n) for n in (0, 1, 10**6, 10**8, 10**12)] == [3, 3, 3, 2, 1]
+    assert [simhash.cost(1, 6, b)[0] for b in (3, 2, 1)] == [66, 1058, 43745]
+
+
+@pytest.mark.parametrize("blocks", [1, 2, 3])
 def test_ball_hashing_finds_every_pair(spark, blocks):
     import random
 
     rng = random.Random(4)
-    base = [rng.getrandbits(64) for _ in range(12)]
+    base = [rng.getrandbits(64) for _ in range(3 if blocks == 1 else 12)]
     fps = {b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 7))) for b in base for _ in range(12)}
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     got = {(r.a, r.b) for r in simhash.linked_pairs(spark.createDataFrame([(f,) for f in signed], "fp long"), 6, blocks).collect()}
