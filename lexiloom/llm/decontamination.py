@@ -12,16 +12,18 @@
    a share of the item's length; the item's indexed words alone must reach that share too, so that common words prove nothing. From `verbatim` on the document holds the item. Between `paraphrase` and that it does
    if the item's answer (its last sentence) is there too: `answer` of it, in order.
 
-The benchmark is taken in blocks of a bounded size (`MOST_ITEMS`, `MOST_BYTES`), which bounds all that is broadcast. No text is shuffled.
+The benchmark is taken in blocks of a bounded size (`MOST_ITEMS`, `MOST_BYTES`), which bounds all that is broadcast. Document frequencies
+of all blocks' words take one pass over the documents (for each `MOST_WORDS` words), and each pass of the search looks for `AT_ONCE` blocks. No text is shuffled.
 
-Nulls: a null document or item text counts as empty, and empty texts match nothing; items without id are left out, and
-documents without id are reported under a null id. Repeated ids stay rows of their own. Extra columns are ignored.
+Nulls: a null document or item text counts as empty, and empty texts match nothing; items and documents without id are reported under a null id.
+`clean` decides row by row, whatever the ids. Repeated ids stay rows of their own. Extra columns are ignored by `matches` and handed on by `clean`.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,8 @@ from .hashing import bounds, joined, word_hashes
 
 BLOCK, RANK, KEPT, LEAST_WORDS = 24, 192, 8, 3
 MOST_ITEMS, MOST_BYTES = 500, 4 << 20
-#: Ids of documents to drop that are broadcast at most.
-MOST_BROADCAST = 500_000
+#: Words whose frequencies are counted in one pass, and blocks that are searched for in one.
+MOST_WORDS, AT_ONCE = 2_000_000, 4
 SEPARATOR = np.array([not (chr(b).isalnum() or b >= 128) for b in range(256)])
 
 
@@ -167,7 +169,7 @@ def frequencies(docs: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, int]:
 def singular_vectors(items: DataFrame, lexicon: Lexicon, idf: np.ndarray, rank: int = RANK, extra: int = 8, powers: int = 3) -> np.ndarray:
     """Right singular vectors (words, rank) of the items' TF-IDF passages, by randomised subspace iteration."""
     context = items.sparkSession.sparkContext
-    rows = items.select("text")
+    rows = items.select("text").coalesce(4)  # each task sends a dense block of the basis' size
     q = np.random.default_rng(13).standard_normal((len(idf), rank + extra)).astype(np.float32)
     for step in range(powers + 1):
         q = np.linalg.qr(q)[0].astype(np.float32)
@@ -235,77 +237,118 @@ class Index:
         return out
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.3, verbatim: float = 0.8, paraphrase: float = 0.55, answer: float = 0.6, rank: int = RANK, common: float = 0.05) -> DataFrame:
-    """doc_id, item_id, cosine, lcs, answer, kind ("verbatim" or "paraphrase"), one row for each document's row and item it holds."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    items = cut(benchmark.where("item_id IS NOT NULL").select("item_id", F.coalesce("text", F.lit("")).alias("text")))
+@dataclass(frozen=True)
+class Thresholds:
+    cosine: float = 0.3
+    verbatim: float = 0.8
+    paraphrase: float = 0.55
+    answer: float = 0.6
+    rank: int = RANK
+    common: float = 0.05
+
+
+def held(index: Index, texts: list[bytes], limits: Thresholds) -> dict[tuple[int, int], tuple[tuple[float, float, float], str]]:
+    """(text, item) -> ((share, answer's share, cosine), kind) of what the texts hold of a block's items."""
+    found: dict[tuple[int, int], tuple[tuple[float, float, float], str]] = {}
+    split: dict[int, list[bytes]] = {}
+    for text, item, at, cos in index.search(texts, limits.cosine):
+        if text not in split:
+            split[text] = words_of(texts[text])
+        want = index.items[item]
+        around = split[text][max(0, at * BLOCK - len(want)) : (at + 2) * BLOCK + len(want)]
+        content, said = index.content[item], index.answers[item]
+        share = min(lcs(want, around) / len(want), lcs(content, around) / len(content))
+        heard = lcs(said, around) / len(said) if said else 0.0
+        kind = "verbatim" if share >= limits.verbatim else "paraphrase" if share >= limits.paraphrase and heard >= limits.answer else None
+        if kind and (share, heard, cos) > found.get((text, item), ((0.0, 0.0, 0.0), ""))[0]:
+            found[text, item] = ((share, heard, cos), kind)
+    return found
+
+
+def indexes(docs: DataFrame, benchmark: DataFrame, limits: Thresholds) -> Iterator[tuple[list[Index], pa.DataType]]:
+    """The benchmark's blocks, some at a time, and the type of its ids."""
+    small_batches(docs.sparkSession)
+    items = cut(benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")))
     n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    blocks = max(1, -(-n // MOST_ITEMS), -(-size // MOST_BYTES))
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, cosine double, lcs double, answer double, kind string"
-    out = None
-    for b in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        part = docs.select("doc_id", "text").mapInArrow(searcher(spark, docs, block, cosine, verbatim, paraphrase, answer, rank, common), schema)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def searcher(spark, docs, block, cosine, verbatim, paraphrase, answer, rank, common):
-    arrow = block.toArrow()
-    id_type = arrow.schema.field("item_id").type
-    got = sorted(arrow.to_pylist(), key=lambda r: (r["item_id"], r["text"]))
-    ids, texts = [r["item_id"] for r in got], [r["text"] for r in got]
-    words, counts = hashed([prepared(t) for t in texts])
-    every = Lexicon(words)
-    df, n_docs = frequencies(docs, every)
-    use = df <= common * n_docs
+    count = max(1, -(-n // MOST_ITEMS), -(-size // MOST_BYTES))
+    waiting, words, done = [], 0, []
+    for b in range(count):
+        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == b)
+        arrow = block.toArrow()
+        got = sorted(arrow.to_pylist(), key=lambda r: (r["item_id"] is not None, r["item_id"], r["text"]) if r["item_id"] is not None else (False, 0, r["text"]))
+        waiting.append((block, arrow.schema.field("item_id").type, got, hashed([prepared(r["text"]) for r in got])))
+        words += len(waiting[-1][3][0])
+        if words > MOST_WORDS or b == count - 1:
+            every = Lexicon(np.concatenate([w for *_, (w, _) in waiting]))
+            df, n_docs = frequencies(docs, every)
+            for block, id_type, got, hashes in waiting:
+                done.append((indexed_block(block, got, hashes, every, df, n_docs, limits), id_type))
+                if len(done) == AT_ONCE:
+                    yield [i for i, _ in done], id_type
+                    done = []
+            waiting, words = [], 0
+    if done:
+        yield [i for i, _ in done], done[0][1]
+
+
+def indexed_block(block: DataFrame, got: list[dict], hashes: tuple[np.ndarray, np.ndarray], every: Lexicon, df: np.ndarray, n_docs: int, limits: Thresholds) -> Index:
+    words, counts = hashes
     place = every.index(words)
+    use = np.zeros(len(every.hashes), bool)
+    use[place] = df[place] <= limits.common * n_docs
     for lo, c in zip(np.cumsum(counts) - counts, counts):
-        own = np.unique(place[lo : lo + c][place[lo : lo + c] >= 0])
+        own = np.unique(place[lo : lo + c])
         use[own[np.argsort(df[own], kind="stable")[:KEPT]]] = True
     lexicon = Lexicon(every.hashes[use])
     idf = (np.log((1 + n_docs) / (1 + df[use])) + 1).astype(np.float32)
+    basis = np.zeros((0, limits.rank), np.float32)
     if len(idf):
-        basis = singular_vectors(block, lexicon, idf, min(rank, len(idf)), min(8, max(0, len(idf) - rank)))
-    else:
-        basis = np.zeros((0, rank), np.float32)
-    shared = spark.sparkContext.broadcast(Index(ids, texts, lexicon, idf, basis))
+        basis = singular_vectors(block, lexicon, idf, min(limits.rank, len(idf)), min(8, max(0, len(idf) - limits.rank)))
+    return Index([r["item_id"] for r in got], [r["text"] for r in got], lexicon, idf, basis)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        for batch in batches:
-            docs_ids, found = batch.column("doc_id"), {}
-            plain = [prepared(t) for t in batch.column("text").to_pylist()]
-            split: dict[int, list[bytes]] = {}
-            for text, item, at, cos in index.search(plain, cosine):
-                if text not in split:
-                    split[text] = words_of(plain[text])
-                want = index.items[item]
-                around = split[text][max(0, at * BLOCK - len(want)) : (at + 2) * BLOCK + len(want)]
-                content, said = index.content[item], index.answers[item]
-                share = min(lcs(want, around) / len(want), lcs(content, around) / len(content))
-                heard = lcs(said, around) / len(said) if said else 0.0
-                kind = "verbatim" if share >= verbatim else "paraphrase" if share >= paraphrase and heard >= answer else None
-                if kind and (share, heard, cos) > found.get((text, item), ((0.0, 0.0, 0.0), ""))[0]:
-                    found[text, item] = ((share, heard, cos), kind)
-            rows = sorted(found)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    docs_ids.take(pa.array([t for t, _ in rows], pa.int64())),
-                    pa.array([index.ids[i] for _, i in rows], id_type),
-                    *(pa.array([found[r][0][k] for r in rows], pa.float64()) for k in (2, 0, 1)),
-                    pa.array([found[r][1] for r in rows], pa.string()),
-                ],
-                ["doc_id", "item_id", "cosine", "lcs", "answer", "kind"],
-            )
-
-    return run
+
+def matches(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """doc_id, item_id, cosine, lcs, answer, kind ("verbatim" or "paraphrase"), one row for each document's row and item it holds."""
+    limits = Thresholds(**options)
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, cosine double, lcs double, answer double, kind string"
+    out = None
+    for blocks, id_type in indexes(docs, benchmark, limits):
+        shared = docs.sparkSession.sparkContext.broadcast(blocks)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, id_type=id_type) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = [prepared(t) for t in batch.column("text").to_pylist()]
+                for index in shared.value:
+                    found = held(index, texts, limits)
+                    rows = sorted(found)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column("doc_id").take(pa.array([t for t, _ in rows], pa.int64())),
+                            pa.array([index.ids[i] for _, i in rows], id_type),
+                            *(pa.array([found[r][0][k] for r in rows], pa.float64()) for k in (2, 0, 1)),
+                            pa.array([found[r][1] for r in rows], pa.string()),
+                        ],
+                        ["doc_id", "item_id", "cosine", "lcs", "answer", "kind"],
+                    )
+
+        part = docs.select("doc_id", "text").mapInArrow(run, schema)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose id isn't among the documents that hold a benchmark item. Rows without id stay."""
-    held = cut(matches(docs, benchmark, **options).select("doc_id").distinct())
-    if held.count() <= MOST_BROADCAST:  # else the ids are joined by shuffle
-        held = F.broadcast(held)
-    return docs.join(held, "doc_id", "left_anti").select(docs.columns)
+    """The rows of docs that hold no benchmark item. Rows go by themselves, also without id or with one that others have; no join."""
+    limits = Thresholds(**options)
+    out, place = docs, docs.columns.index("text")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    for blocks, _ in indexes(docs, benchmark, limits):
+        shared = docs.sparkSession.sparkContext.broadcast(blocks)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = [prepared(t) for t in batch.column(place).to_pylist()]
+                gone = {t for index in shared.value for t, _ in held(index, texts, limits)}
+                yield batch.filter(pa.array([k not in gone for k in range(len(texts))], pa.bool_()))
+
+        out = out.mapInArrow(run, schema)
+    return out

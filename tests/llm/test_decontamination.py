@@ -67,6 +67,21 @@ def test_edges(spark):
     docs = [(1, None), (2, ""), (3, item), (3, item), (None, item), (5, "x " * 50_000 + item + " y" * 50_000), (6, "nothing here")]
     frame = spark.createDataFrame([(d, t, 1) for d, t in docs], "doc_id long, text string, item_id int")
     bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (None, item)], "item_id long, text string")
-    assert sorted((r.doc_id or 0, r.item_id) for r in dc.matches(frame, bench).collect()) == [(0, 1), (3, 1), (3, 1), (5, 1)]
-    assert sorted(r.doc_id or 0 for r in dc.clean(frame, bench).collect()) == [0, 1, 2, 6]
+    # An item without id is searched too; a row without id goes like any other, and a clean row that shares its id with another stays.
+    assert sorted((r.doc_id or 0, r.item_id or 0) for r in dc.matches(frame, bench).collect()) == sorted((d, i) for d in (0, 3, 3, 5) for i in (0, 1))
+    more = frame.union(spark.createDataFrame([(3, "clean words under a shared id", 1), (None, "clean words without id", 1)], frame.schema))
+    assert sorted((r.doc_id or 0, r.item_id) for r in dc.clean(more, bench).collect()) == [(0, 1), (1, 1), (2, 1), (3, 1), (6, 1)] and dc.clean(more, bench).columns == more.columns
+    assert dc.clean(frame, bench.limit(0)).count() == len(docs)
     assert dc.matches(frame.limit(0), bench).count() == 0 and dc.matches(frame, bench.limit(0)).count() == 0
+
+
+def test_many_blocks_give_what_one_gives(spark, monkeypatch):
+    docs, items, _ = fixture()
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id int, text string")
+    # Which common words count as content depends on the block, so near the thresholds blocks may differ; whole items don't.
+    whole = {(r.doc_id, r.item_id) for r in dc.matches(frame, bench).where("lcs >= 0.95").collect()}
+    monkeypatch.setattr(dc, "MOST_ITEMS", max(2, len(items) // 5))
+    monkeypatch.setattr(dc, "AT_ONCE", 2)
+    parts = {(r.doc_id, r.item_id) for r in dc.matches(frame, bench).where("lcs >= 0.95").collect()}
+    assert whole and whole == parts
+    assert {r.doc_id for r in dc.clean(frame, bench).collect()}.isdisjoint({d for d, _ in parts})
