@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import text as T
 
-from .storage import settled
+from .storage import settled, spread
 
 UNKNOWN = "--unk--"
 CUTOFF = 1e10
@@ -36,7 +36,7 @@ def doc_counts(docs: DataFrame, keys: tuple[str, ...] = ("doc_id", "label"), **o
     Counted document by document in Arrow batches, without a shuffle: four times as fast as the same in array
     functions (text.counted), whose lambdas are interpreted.
     """
-    rows = docs.select(*keys, F.coalesce("text", F.lit("")).alias("_text"))
+    rows = spread(docs.select(*keys, F.coalesce("text", F.lit("")).alias("_text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -58,7 +58,7 @@ def doc_counts(docs: DataFrame, keys: tuple[str, ...] = ("doc_id", "label"), **o
 def sums(docs: DataFrame, by: tuple[str, ...] = (), **orders) -> DataFrame:
     """by, feature, cnt, share: counts over all documents, and the sums of their shares in each document. Summed by batch before anything
     is shuffled, so a feature of all documents is one row a batch."""
-    rows = docs.select(*by, F.coalesce("text", F.lit("")).alias("_text"))
+    rows = spread(docs.select(*by, F.coalesce("text", F.lit("")).alias("_text")))
     names_of = [*by, "feature"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +163,7 @@ def located(docs: DataFrame, entries: DataFrame, unknown: bool = True, keys: tup
     if lexicon is None:
         return term_frequency(indexed(doc_counts(docs, keys, **orders), entries, unknown, keys), keys[0]).withColumnRenamed("val", "tf")
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
-    rows = docs.select(*keys, F.coalesce("text", F.lit("")).alias("_text"))
+    rows = spread(docs.select(*keys, F.coalesce("text", F.lit("")).alias("_text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = shared.value.open()

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from .features import ranked
-from .storage import settled, small
+from .storage import settled, small, spread
 
 P_ABBREVIATION, ABBREVIATION, COLLOCATION, STARTER = 0.99, 0.3, 7.88, 30.0
 EDGE = "<s>"
@@ -131,7 +131,7 @@ def measured(lines: DataFrame) -> DataFrame:
                     ends.clear()
             yield from flushed()
 
-    return settled(lines.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, SUMS))
+    return settled(spread(lines.select(F.col("doc_id").cast("bigint"), "text")).mapInArrow(run, SUMS))
 
 
 SUM_NAMES = [x.split()[0] for x in SUMS.split(", ")]
@@ -310,4 +310,4 @@ def split_sentences(docs: DataFrame, statistics: Statistics) -> DataFrame:
         for texts in batches:
             yield texts.map(lambda t: shared.value.sentences(t))
 
-    return docs.select("doc_id", F.posexplode(cut("text")).alias("at", "sentence"))
+    return spread(docs.select("doc_id", "text")).select("doc_id", F.posexplode(cut("text")).alias("at", "sentence"))

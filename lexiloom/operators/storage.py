@@ -39,3 +39,10 @@ def small(df: DataFrame) -> DataFrame:
     """df, settled, with a broadcast hint where a count shows that it has few rows."""
     df = settled(df)
     return F.broadcast(df) if df.count() <= MOST_SMALL else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df for work that costs far more than sending its rows: dealt out to all cores where it comes in fewer partitions than there are cores (a few
+    small files, or files of one row group), as it is where there are more."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if not df.isStreaming and df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
