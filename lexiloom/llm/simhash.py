@@ -82,8 +82,8 @@ def cost(n: int, radius: int, blocks: int) -> tuple[float, float]:
 
 
 def blocks_for(n: int, radius: int = 6) -> int:
-    """The number of blocks, one to three, whose variants and expected candidates are fewest together: three up to some 3 million
-    fingerprints, two up to some 10 billion, then one."""
+    """The number of blocks, one to three, whose variants and expected candidates are fewest together: three up to some 4 million
+    fingerprints, two up to some 600 million, then one."""
     return min((3, 2, 1), key=lambda b: sum(cost(n, radius, b)))
 
 
