@@ -29,6 +29,34 @@ def parsed(line: Column) -> Column:
     )
 
 
+def label_to_line(label: Column) -> Column:
+    """A label as a word: any label comes back from a line by label_from_line, also none, the empty one and those with white space."""
+    return F.coalesce(F.concat(F.lit("="), F.url_encode(label)), F.lit("-"))
+
+
+def label_from_line(label: Column) -> Column:
+    return F.when(label != "-", F.url_decode(F.substr(label, F.lit(2))))
+
+
+#: Escapes of the line ends to a pattern's dot (and $) other than \\n and \\r, and of the escaping backslash, which comes first.
+ESCAPES = (("\\", "\\b"), ("\x85", "\\x"), ("\u2028", "\\u"), ("\u2029", "\\v"))
+
+
+def text_to_line(text: Column) -> Column:
+    """A text that a line gives back whole by text_from_line: it begins with a bar, so that its own blanks and tabs aren't taken for the gap behind the
+    label, and unusual line ends are escaped."""
+    for c, to in ESCAPES:
+        text = F.replace(text, F.lit(c), F.lit(to))
+    return F.concat(F.lit("|"), text)
+
+
+def text_from_line(text: Column) -> Column:
+    text = F.substr(text, F.lit(2))
+    for c, to in reversed(ESCAPES):
+        text = F.replace(text, F.lit(to), F.lit(c))
+    return text
+
+
 def labelled(rows: DataFrame, column: str = "value") -> DataFrame:
     """rows with label and text; unparseable lines and empty texts are dropped."""
     made = rows.withColumn("_p", parsed(F.col(column)))
