@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from lexiloom.functions.text import slices
+
 from .features import ranked
 from .storage import settled, small, spread
 
@@ -59,7 +61,8 @@ TOKEN = StructType([StructField("word", StringType()), StructField("endpos", Int
 @F.pandas_udf(ArrayType(TOKEN))
 def token_column(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
-        yield texts.map(lambda t: [{"word": w, "endpos": e, "kind": k} for w, e, k in tokens(t)])
+        for part in slices(texts):
+            yield part.map(lambda t: [{"word": w, "endpos": e, "kind": k} for w, e, k in tokens(t)])
 
 
 def contexts(lines: DataFrame) -> DataFrame:
@@ -308,6 +311,7 @@ def split_sentences(docs: DataFrame, statistics: Statistics) -> DataFrame:
     @F.pandas_udf("array<string>")
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield texts.map(lambda t: shared.value.sentences(t))
+            for part in slices(texts):
+                yield part.map(lambda t: shared.value.sentences(t))
 
     return spread(docs.select("doc_id", "text")).select("doc_id", F.posexplode(cut("text")).alias("at", "sentence"))
